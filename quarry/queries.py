@@ -1,0 +1,4 @@
+"""The reference's operators bound to the driver's tables."""
+
+QUERIES = {}
+ORACLE = {}
