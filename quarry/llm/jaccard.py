@@ -1,8 +1,8 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The distinct word shingles of a text are hashed and ordered by hash: the global n-gram order. That order is
-cut into fragments, equal for all texts of a length class and one more than the shingles two linked texts of
-the class can differ in. So two linked texts have some fragment in common to the last shingle, and only texts
+cut into fragments, equal for all texts of a length class and more than the shingles two linked texts of
+the class can differ in (and some to spare, as a few stay empty). So two linked texts have some fragment in common to the last shingle, and only texts
 that share a whole fragment become candidates. Candidate classes are then verified exactly: within blocks of
 bounded size the order is cut into fragments again, each fragment's partial overlaps are counted for all
 pairs at once (a product of 0/1 matrices), and the counts are summed per pair.
@@ -77,7 +77,7 @@ def fragments(u: np.ndarray, starts: list[int], share: int) -> np.ndarray:
         if c < 0:
             continue
         most = differing(starts[c + 2] - 1, share)
-        g = most + 1
+        g = most + most // 8 + 3
         f = ((u >> U(32)) * U(g)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         own = f[first]
@@ -206,7 +206,7 @@ def _verified(share: int):
             groups.setdefault(c, []).append(r)
         got = []
         for members in groups.values():
-            sides = [sorted((r for r in members if rows["side"][r] == s), key=lambda r: rows["digest"][r]) for s in (0, 1)]
+            sides = [sorted({rows["digest"][r]: r for r in members if rows["side"][r] == s}.values(), key=lambda r: rows["digest"][r]) for s in (0, 1)]
             take = [
                 (np.array([rows["digest"][r] for r in m], np.int64), np.array([rows["copies"][r] for r in m], np.int64), [np.frombuffer(rows["grams"][r], U) for r in m])
                 for m in sides
@@ -223,9 +223,14 @@ def _verified(share: int):
 
 def _grams(k: int):
     def run(batches):
+        seen = set()  # repeated rows of a candidate: one from each task is enough
         for b in batches:
-            sets = list(text_sets(b.column("text"), k))
-            keep = pa.array([digest(u) == d for u, d in zip(sets, b.column("digest").to_pylist(), strict=True)], pa.bool_())
+            sets, keep = list(text_sets(b.column("text"), k)), []
+            for u, d in zip(sets, b.column("digest").to_pylist(), strict=True):
+                keep.append(d not in seen and digest(u) == d)
+                if keep[-1]:
+                    seen.add(d)
+            keep = pa.array(keep, pa.bool_())
             yield pa.record_batch([*(b.column(c) for c in ("digest", "cls", "copies", "blocks")), binary(sets)], ["digest", "cls", "copies", "blocks", "grams"]).filter(keep)
 
     return run
@@ -255,9 +260,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFram
     members = stored(members.select("digest", "cls", "blocks", "copies", F.coalesce("low", F.lit(-(1 << 63))).alias("low")), "candidates")
     n = members.count()
     rows = texts.withColumn("low", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
-    # rows of one doc_id with other texts fall to the digest test; repeated rows to the distinct
+    # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their block
     grams = rows.join(small_side(members, n), "low").select("text", "digest", "cls", "copies", "blocks")
-    grams = grams.mapInArrow(_grams(k), "digest long, cls long, copies long, blocks int, grams binary").dropDuplicates(["digest"])
+    grams = grams.mapInArrow(_grams(k), "digest long, cls long, copies long, blocks int, grams binary")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     dealt = grams.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(

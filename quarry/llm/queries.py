@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard
+from . import decontaminate, jaccard, langid, mixing, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,40 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, share=85).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dominant language and its share of every document, learned from the documents that are not held out."""
+    return langid.language_mixture(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in a 10-word window of a benchmark item."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document gives to a mix of 150% of all words, sources weighing 5, 2, 1 in turn."""
+    return mixing.quotas(table(spark, sf_dir, "documents"), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def tokenizer_path() -> str:
+    """The public vocabulary file; it comes with the tokenizer package and is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of the documents' token ids, as read back from the ORC files."""
+    return tokenfile.tokens_round(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op5_language_mixture": op5_language_mixture,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_mixing": op8_mixing,
+    "op10_token_file": op10_token_file,
+}
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": r"""
@@ -39,6 +72,61 @@ e as (select x, y from pairs union all select y, x from pairs),
 reach(a, b) as (select doc_id, doc_id from s union select r.a, e.y from reach r join e on r.b = e.x)
 select s.doc_id, len(s.sh)::bigint as n_shingles, c.low as component_id
 from s join (select a, min(b) as low from reach group by a) c on c.a = s.doc_id
+""",
+    "op7_benchmark_decontamination": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from benchmark),
+iw as (
+  select distinct item_id, least(10, len(ws)) as n, unnest([array_to_string(ws[s:s + least(10, len(ws)) - 1], ' ') for s in range(1, len(ws) - least(10, len(ws)) + 2)]) as w
+  from i where len(ws) > 0),
+dw as (
+  select doc_id, n, unnest(range(1, len(ws) - n + 2)) as s, unnest([array_to_string(ws[p:p + n - 1], ' ') for p in range(1, len(ws) - n + 2)]) as w
+  from d, (select distinct n from iw) where len(ws) >= n),
+hits as (select doc_id, s, dw.n, item_id from dw join iw using (n, w)),
+per as (
+  select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items
+  from hits group by doc_id),
+pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from hits) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join per using (doc_id) left join pos using (doc_id)
+""",
+    "op8_mixing": r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    case when source is null then 'n' else 's' || source end as skey, source is null as last,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as spot
+  from documents),
+s0 as (select skey, last, sum(size)::bigint as source_size from d group by skey, last),
+s1 as (select *, [5.0, 2.0, 1.0][(row_number() over (order by last, skey) - 1) % 3 + 1]::double as weight, source_size * 2.0::double as cap from s0),
+s2 as (
+  select *, cap / weight as level,
+    (sum(source_size) over () * 1.5::double - coalesce(sum(cap) over (order by cap / weight, last, skey rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by cap / weight, last, skey rows between current row and unbounded following) as lam
+  from s1),
+lam as (select lam from s2 where lam <= level order by level, last, skey limit 1),
+s3 as (select skey, source_size, least(cap, coalesce((select lam from lam), level) * weight) as target from s2),
+s4 as (
+  select *, greatest(1, ceil(source_size / greatest(50000, ceil((select sum(source_size) from s3) / 16384))))::bigint as n_blocks,
+    case when source_size > 0 then (round(target)::bigint // source_size)::bigint else 0 end as whole
+  from s3),
+t as (select *, round(target)::bigint - whole * source_size as rest from s4),
+own as (select d.*, t.source_size, t.target, t.n_blocks, t.whole, t.rest, d.spot % t.n_blocks as block from d join t using (skey)),
+b0 as (select skey, block, rest, sum(size)::bigint as words from own group by skey, block, rest),
+b1 as (
+  select *, coalesce(sum(words) over (partition by skey order by ('0x' || substr(md5('1:' || skey || ':' || block), 1, 15))::bigint, block rows between unbounded preceding and 1 preceding), 0) as before
+  from b0),
+b as (select skey, block, words, greatest(0, least(words, rest - before))::bigint as take from b1),
+e0 as (select own.skey, own.block, take, spot, sum(size) as w, count(*) as n from own join b using (skey, block) where take > 0 and take < words group by own.skey, own.block, take, spot),
+e as (select *, sum(w) over (partition by skey, block order by spot) as sofar from e0),
+edge as (select skey, block, spot as last_spot, (take - (sofar - w)) // n as part from e where sofar >= take and sofar - w < take)
+select doc_id, size, source_size, target,
+  (whole * size + case when take = 0 then 0 when take = words then size when spot < last_spot then size when spot = last_spot then least(size, part) else 0 end)::bigint as taken
+from own join b using (skey, block) left join edge using (skey, block)
 """,
 }
 
