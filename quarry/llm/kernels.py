@@ -52,12 +52,16 @@ class Words:
         table[65:91] = table[97:123]
         self.table = table
 
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes of the texts data[offsets[i]:offsets[i+1]], and offsets of each text's words."""
+    def of(self, data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = (), places: bool = False) -> tuple[np.ndarray, ...]:
+        """Word hashes of the texts data[offsets[i]:offsets[i+1]], and offsets of each text's words.
+
+        heads: then also, for each number of bytes, the hash of each word's first bytes (shorter words whole).
+        places: then also where each word begins and ends in data.
+        """
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         x = data[base : base + n]
         if n == 0:
-            return np.empty(0, U), np.zeros(len(offsets), np.int64)
+            return (np.empty(0, U), np.zeros(len(offsets), np.int64), *[np.empty(0, U) for _ in heads], *[np.empty(0, np.int64)] * 2 * places)
         isw = self.word[x]
         first = isw.copy()
         first[1:] &= ~isw[:-1]
@@ -70,10 +74,9 @@ class Words:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last)
         p, inv = powers(n + 1)
         total = np.cumsum(self.table[x] * p[:n])
-        h = total[ends]
-        inner = starts > 0
-        h[inner] -= total[starts[inner] - 1]
-        return mix(h * inv[starts] + (ends - starts).astype(U)), np.searchsorted(starts, offsets - base)
+        before = np.where(starts > 0, total[starts - 1], U(0))
+        hashes = [mix((total[e] - before) * inv[starts] + (e - starts).astype(U)) for e in (ends, *(np.minimum(ends, starts + k - 1) for k in heads))]
+        return (hashes[0], np.searchsorted(starts, offsets - base), *hashes[1:], *((starts + base, ends + base + 1) if places else ()))
 
     def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, word hashes, word offsets) for runs of rows of about CHUNK bytes; null is empty."""
@@ -82,7 +85,7 @@ class Words:
         while i < rows:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
             if offsets[j] - offsets[i] > PIECE:
-                parts = [self.of(data, np.array([a, b]))[0] for a, b in self._pieces(data, int(offsets[i]), int(offsets[j]))]
+                parts = [self.of(data, np.array([a, b]))[0] for a, b in self.pieces(data, int(offsets[i]), int(offsets[j]))]
                 h = np.concatenate(parts)
                 yield i, j, h, np.array([0, len(h)])
             else:
@@ -90,7 +93,7 @@ class Words:
                 yield i, j, h, at
             i = j
 
-    def _pieces(self, data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    def pieces(self, data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
         """Cuts one long text at separators; a word longer than a piece stays whole."""
         while a < b:
             end = min(a + PIECE, b)
