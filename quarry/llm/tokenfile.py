@@ -22,69 +22,108 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fresh_path, width
+from .kernels import CHUNK, PIECE, SPACED, U, buffers
 
-KEPT_WORDS, KEPT_CHARS, OUT_IDS = 400_000, 48, 4_000_000
+KEPT_WORDS = 1_500_000  # about 60 MB a worker
+SLICE = 8 << 20  # bytes of text encoded at once
 ROW = "doc_id long, shard int, pos long, local_start long, n_tokens long, ids array<int>"
 
 
-@lru_cache(2)
-def encoder(path: str):
-    """text -> its ids as little-endian 32-bit bytes; words already met come from the worker's own table.
+class Encoder:
+    """Texts to ids, each distinct word going through the tokenizer once while the worker's table holds it.
 
-    The tokenizer never joins across white space, so a text's ids are those of its space-separated words in
-    order; all other white space stays inside the words and goes through the library.
+    The tokenizer drops case and never joins across white space, so a text's ids are those of its words in
+    order. The table has the words' 64-bit hashes, sorted, and their ids in one array; row 0 is the end id.
     """
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    kept: dict[str, bytes] = {"": b""}
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer
+
+        self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        self.reset()
+
+    def reset(self) -> None:
+        self.hashes, self.row = np.empty(0, U), np.empty(0, np.int64)
+        self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.flat = np.array([self.end_id], np.int32)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and how many each has; told apart by where they came from."""
+        flat, sizes = [], []
+        for at in range(0, len(words), 500):
+            some = words[at : at + 500]
+            got = self.tok.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+            token = np.fromiter((s for s, _ in got.offsets), np.int64, len(got.ids))
+            flat.append(np.array(got.ids, np.int32))
+            sizes.append(np.bincount(np.searchsorted(starts, token, "right") - 1, minlength=len(some)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """New words, their hashes in order."""
+        new = len(self.size) + np.arange(len(size))
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.row = np.insert(self.hashes, at, hashes), np.insert(self.row, at, new)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts data[offsets[i]:offsets[i+1]], each text with its end id, and each text's count."""
+        parts, i = [], 0
+        while i < len(offsets) - 1:  # words are cut a few texts at a time, to stay in the processor's cache
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
+            if offsets[j] - offsets[i] > PIECE:
+                got = [SPACED.of(data, np.array([a, b]), places=True) for a, b in SPACED.pieces(data, int(offsets[i]), int(offsets[j]))]
+                h, start, end = (np.concatenate([g[k] for g in got]) for k in (0, 2, 3))
+                parts.append((h, np.array([0, len(h)]), start, end))
+            else:
+                parts.append(SPACED.of(data, offsets[i : j + 1], places=True))
+            i = j
+        h, start, end = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+        many = np.concatenate([np.diff(p[1]) for p in parts])
+        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > KEPT_WORDS:
+            self.reset()
+        at = np.searchsorted(self.hashes, distinct)
+        old = at < len(self.hashes)
+        old[old] = self.hashes[at[old]] == distinct[old]
+        w = where[~old]
+        words = [data[s:e].tobytes().decode() for s, e in zip(start[w].tolist(), end[w].tolist(), strict=True)]
+        if words:
+            self.add(distinct[~old], *self.words(words))
+        row = self.row[np.searchsorted(self.hashes, distinct)][back]
+        row = np.insert(row, np.cumsum(many), 0)
+        size = self.size[row]
+        stop = np.cumsum(size)
+        ids = self.flat[np.arange(stop[-1]) + np.repeat(self.first[row] - stop + size, size)]
+        ends = stop[np.cumsum(many + 1) - 1]
+        if max(map(len, words), default=0) > 1 << 16 or len(self.flat) > 16 * KEPT_WORDS:
+            self.reset()
+        return ids, np.diff(ends, prepend=0)
 
-    def encode(text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in kept]
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(kept) + len(got) > KEPT_WORDS:
-            kept.clear()
-            kept[""] = b""
-        kept.update((w, v) for w, v in got.items() if len(w) <= KEPT_CHARS)
-        return b"".join([got[w] if w in got else kept[w] if w in kept else np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words])
 
-    return encode
+@lru_cache(2)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, end_id)
         shard, pos, start = TaskContext.get().partitionId(), 0, 0
-
-        def row_batch(ids, parts):
-            nonlocal pos, start
-            n = np.array([len(p) // 4 for p in parts], np.int64)
-            flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), flat)
-            at = np.cumsum(n) - n + start
-            rows = len(parts)
-            out = pa.record_batch([pa.array(ids, pa.int64()), pa.array([shard] * rows, pa.int32()), pa.array(np.arange(pos, pos + rows)), pa.array(at), pa.array(n), lists], ["doc_id", "shard", "pos", "local_start", "n_tokens", "ids"])
-            pos, start = pos + rows, start + int(n.sum())
-            return out
-
         for b in batches:
-            ids, parts, held = [], [], 0
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids.append(doc)
-                parts.append(encode(text.as_py() or "") + end)
-                held += len(parts[-1]) // 4
-                if held >= OUT_IDS:
-                    yield row_batch(ids, parts)
-                    ids, parts, held = [], [], 0
-            if parts:
-                yield row_batch(ids, parts)
+            data, offsets = buffers(b.column("text"))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, "right")) - 1)
+                ids, n = encode.texts(data, offsets[i : j + 1])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
+                at = np.cumsum(n) - n + start
+                yield pa.record_batch(
+                    [b.column("doc_id").slice(i, j - i), pa.array([shard] * (j - i), pa.int32()), pa.array(np.arange(pos, pos + j - i)), pa.array(at), pa.array(n), lists],
+                    ["doc_id", "shard", "pos", "local_start", "n_tokens", "ids"],
+                )
+                pos, start, i = pos + j - i, start + int(n.sum()), j
 
     return run
 
