@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard, langid, mixing, pii, tokenfile, toxicity
+from . import ann, chat, decontaminate, htmltext, jaccard, langid, mixing, pii, tokenfile, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_mixture(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without its host's template."""
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that lie in a 10-word window of a benchmark item."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -50,6 +55,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.quotas(table(spark, sf_dir, "documents"), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors by cosine of every 50th vector, found among all."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def tokenizer_path() -> str:
     """The public vocabulary file; it comes with the tokenizer package and is never copied."""
     import public_tokenizers
@@ -68,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_personal_data": op4_personal_data,
     "op5_language_mixture": op5_language_mixture,
+    "op6_main_text": op6_main_text,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_mixing": op8_mixing,
+    "op9_nearest_vectors": op9_nearest_vectors,
     "op10_token_file": op10_token_file,
 }
 
