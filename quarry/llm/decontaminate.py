@@ -17,6 +17,7 @@ their row; empty tables give no rows, or rows without hits; other columns are ig
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,13 +170,11 @@ def _finish(batches):
         yield pa.record_batch([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def passes(docs: DataFrame, bench: DataFrame, window: int, item_bytes: int) -> list[DataFrame]:
-    """SPAN rows of each pass over the corpus; the first has every document, the others those with hits."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = bench.select("item_id", "text")
+def indexes(docs: DataFrame, bench: DataFrame, window: int, item_bytes: int) -> Iterator[Index]:
+    """An index for each pass over the corpus, of items of at most item_bytes together (or one item)."""
+    texts, items = docs.select("text"), bench.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // item_bytes))
-    out = []
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         windows = item_windows([tuple(r) for r in own.collect()], window)
@@ -184,14 +183,13 @@ def passes(docs: DataFrame, bench: DataFrame, window: int, item_bytes: int) -> l
             keys.setdefault(q, set()).update(grams.tolist())
         sought = {q: np.array(sorted(v), U) for q, v in keys.items()}
         counted = texts.mapInArrow(_count(sought), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))  # at most one row for each shingle of the pass
-        index = Index(windows, {r[0]: r[1] for r in counted.collect()} if sought else {})
-        out.append(texts.mapInArrow(_search(index, k > 0), SPAN))
-    return out
+        yield Index(windows, {r[0]: r[1] for r in counted.collect()} if sought else {})
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, item_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    first, *more = passes(docs, bench, window, item_bytes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first, *more = [texts.mapInArrow(_search(index, k > 0), SPAN) for k, index in enumerate(indexes(docs, bench, window, item_bytes))]
     rows = first.select("doc_id", "n_words", "key", F.array("spans").alias("spans"), F.array("items").alias("items"))
     if more:
         rest = stored(more[0].sparkSession.createDataFrame([], SPAN), "hits")
@@ -203,3 +201,22 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, item_byte
         rows = rows.join(rest, same, "left").select(rows.doc_id, rows.n_words, F.concat(rows.spans, F.coalesce(rest.s, none)).alias("spans"), F.concat(rows.items, F.coalesce(rest.i, F.array().cast("array<array<string>>"))).alias("items"))
     out = rows.select("doc_id", "n_words", "spans", "items").mapInArrow(_finish, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def _keep(index: Index):
+    def run(batches):
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for i, _, h, at in LETTERS.texts(b.column("text")):
+                clean[i + index.find(h, at)[0]] = False
+            yield b.filter(pa.array(clean))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 10, item_bytes: int = 8_000_000) -> DataFrame:
+    """The rows of docs, all columns, that contain no window of an item."""
+    out = docs
+    for index in indexes(docs, bench, window, item_bytes):
+        out = out.mapInArrow(_keep(index), docs.schema)
+    return out
