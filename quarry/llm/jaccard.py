@@ -1,11 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The distinct word shingles of a text are hashed and ordered by hash: the global n-gram order. That order is
-cut into fragments, equal for all texts of a length class and more than the shingles two linked texts of
-the class can differ in (and some to spare, as a few stay empty). So two linked texts have some fragment in common to the last shingle, and only texts
-that share a whole fragment become candidates. Candidate classes are then verified exactly: within blocks of
-bounded size the order is cut into fragments again, each fragment's partial overlaps are counted for all
-pairs at once (a product of 0/1 matrices), and the counts are summed per pair.
+cut into fragments, the same for all texts of a length class and more of them than the shingles that two
+linked texts of the class can differ in. So linked texts have at least so many whole fragments in common, and
+only texts that do become candidates. Candidate classes are then verified exactly: within blocks of bounded
+size the order is cut into fragments again, each fragment's partial overlaps are counted for all pairs at once
+(a product of 0/1 matrices), and the counts are summed per pair.
 
 Texts with equal shingle sets are one node throughout, so copies cost nothing beyond one row each.
 
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import connected_components, small_side, stored, width
 from .kernels import SPACED, U, binary, mix, rolling
 
-SIGN = np.int64(-(1 << 63))
 FLUSH = 2_000_000  # signatures that a task holds before it hands them on
-BLOCK = 512  # texts of one side of a verified block
+RUN = 32  # members of a run that are paired one by one
+BLOCK = 1024  # texts of one side of a verified block
 SLICE = 4096  # shingles of one verified fragment
 
 
@@ -69,9 +69,11 @@ def differing(most: int, share: int) -> int:
     return (100 - share) * s // (100 + share)
 
 
-def fragments(u: np.ndarray, starts: list[int], share: int) -> np.ndarray:
-    """Signatures of the set's fragments: of its class with the next bucket and with the one before."""
-    n, out, m = len(u), [], mix(u ^ U(0x5851F42D4C957F2D))
+def fragments(u: np.ndarray, starts: list[int], share: int) -> tuple[np.ndarray, int]:
+    """Signatures of the set's fragments, of its class with the next bucket and with the one before; and how many
+    of them a linked set has in common with it at least: the fragments with shingles, less those that can differ.
+    """
+    n, out, m, need = len(u), [], mix(u ^ U(0x5851F42D4C957F2D)), 255
     j = bisect_right(starts, n) - 1
     for c in (j - 1, j):
         if c < 0:
@@ -84,9 +86,10 @@ def fragments(u: np.ndarray, starts: list[int], share: int) -> np.ndarray:
         salt = U((c * 0x9E3779B97F4A7C15 + 0x1234567) & (2**64 - 1))
         sums = np.add.reduceat(m, first)
         out.append(mix(sums ^ mix(own + salt)))
+        need = min(need, max(1, len(own) - most))
         if len(own) <= most:  # so few that two such sets may have only empty fragments in common
             out.append(mix(mix(np.setdiff1d(np.arange(g, dtype=U), own) + salt)))
-    return np.concatenate(out)
+    return np.concatenate(out), need
 
 
 def _stats(k: int):
@@ -104,18 +107,19 @@ def _stats(k: int):
 def _signatures(k: int, share: int, parts: int):
     starts = bounds(share)
 
-    def flush(ids, sigs):
-        i, s = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs]), np.concatenate(sigs)
+    def flush(ids, found):
+        sigs, many = [x for x, _ in found], [len(x) for x, _ in found]
+        i, s, m = np.repeat(np.array(ids, np.int64), many), np.concatenate(sigs), np.repeat(np.array([x for _, x in found], np.uint8), many)
         p = (s % U(parts)).astype(np.int64)
         order = np.argsort(p, kind="stable")
         cut = np.searchsorted(p[order], np.arange(parts + 1))
-        i, s = i[order], s[order]
+        i, s, m = i[order], s[order], m[order]
         full = [q for q in range(parts) if cut[q + 1] > cut[q]]
         for at in range(0, len(full), 64):
             some = full[at : at + 64]
             yield pa.record_batch(
-                [pa.array(some, pa.int32()), binary([i[cut[q] : cut[q + 1]] for q in some]), binary([s[cut[q] : cut[q + 1]] for q in some])],
-                ["part", "ids", "sigs"],
+                [pa.array(some, pa.int32()), *(binary([x[cut[q] : cut[q + 1]] for q in some]) for x in (i, s, m))],
+                ["part", "ids", "sigs", "needs"],
             )
 
     def run(batches):
@@ -127,7 +131,7 @@ def _signatures(k: int, share: int, parts: int):
                 seen.add(d)
                 ids.append(d)
                 sigs.append(fragments(u, starts, share))
-                held += len(sigs[-1])
+                held += len(sigs[-1][0])
                 if held >= FLUSH:
                     yield from flush(ids, sigs)
                     ids, sigs, held = [], [], 0
@@ -139,22 +143,41 @@ def _signatures(k: int, share: int, parts: int):
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """One edge from each member of a signature's run to the run's smallest member, each edge once."""
-    ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
-    sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), U)
-    order = np.argsort(sigs)
-    ids, sigs = ids[order], sigs[order]
-    first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-    low = np.minimum.reduceat(ids, first)
-    hub = np.repeat(low, np.diff(np.append(first, len(ids))))
-    keep = hub != ids
-    hub, ids = hub[keep], ids[keep]
-    order = np.lexsort((ids, hub))
-    hub, ids = hub[order], ids[order]
-    new = np.ones(len(hub), bool)
-    new[1:] = (hub[1:] != hub[:-1]) | (ids[1:] != ids[:-1])
-    return pa.table({"src": hub[new], "dst": ids[new]})
+def _pairs(run: int):
+    """What the runs of equal signatures pair, how often, and how often at least a linked pair would be.
+
+    All members of a short run are paired; of a long one each with the smallest.
+    """
+
+    def pair(table: pa.Table) -> pa.Table:
+        ids, sigs, needs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("sigs", U), ("needs", np.uint8)))
+        order = np.argsort(sigs)
+        ids, sigs, needs = ids[order], sigs[order], needs[order]
+        first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
+        size = np.diff(np.append(first, len(ids)))
+        within, size_of = np.arange(len(ids)) - np.repeat(first, size), np.repeat(size, size)
+        hub = np.repeat(np.minimum.reduceat(ids, first), size)
+        far = (size_of > run) & (hub != ids)
+        a, b, need, long = [hub[far]], [ids[far]], [needs[far]], [np.ones(far.sum(), bool)]
+        for step in range(1, min(run, int(size.max(initial=1)))):
+            at = np.flatnonzero((size_of <= run) & (within + step < size_of))
+            x, y = ids[at], ids[at + step]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            need.append(np.maximum(needs[at], needs[at + step]))
+            long.append(np.zeros(len(at), bool))
+        a, b, need, long = (np.concatenate(x) for x in (a, b, need, long))
+        order = np.lexsort((long, b, a))
+        a, b, need, long = a[order], b[order], need[order], long[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (long[1:] != long[:-1])
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(a)))
+        keep = a[at] != b[at]
+        at, n = at[keep], n[keep]
+        return pa.table({"src": a[at], "dst": b[at], "long": long[at], "n": n.astype(np.int64), "need": need[at].astype(np.int64)})
+
+    return pair
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -178,45 +201,34 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(share: int):
-    """Edges and link counts of the texts of one block pair, or of several small candidate classes."""
+    """Links of the texts dealt to a task, as edges to the least text that a text is linked with."""
 
-    def links(ids, copies, sets, ids2, copies2, sets2, same):
+    def links(ids, sets, ids2, sets2):
         n, n2 = np.array([len(u) for u in sets]), np.array([len(u) for u in sets2])
         o = overlaps(sets, sets2)
         near = 100 * o >= share * (n[:, None] + n2[None, :] - o)
-        if same:
-            np.fill_diagonal(near, False)
-        label, label2 = ids.copy(), ids2.copy()
+        label, label2 = ids, ids2
         big = np.iinfo(np.int64).max
         while True:  # least label over the links, until nothing moves
             a = np.minimum(label, np.where(near, label2[None, :], big).min(1))
             b = np.minimum(label2, np.where(near, a[:, None], big).min(0))
-            if same:
-                a = b = np.minimum(a, b)
             if (a == label).all() and (b == label2).all():
-                break
+                return [(ids, label), (ids2, label2)]
             label, label2 = a, b
-        out = [(ids, label, near @ copies2)]
-        return out if same else [*out, (ids2, label2, copies @ near)]
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["cls", "side", "digest", "copies", "grams"]).to_pydict()
-        groups: dict[int, list[int]] = {}
-        for r, c in enumerate(rows["cls"]):
-            groups.setdefault(c, []).append(r)
-        got = []
-        for members in groups.values():
-            sides = [sorted({rows["digest"][r]: r for r in members if rows["side"][r] == s}.values(), key=lambda r: rows["digest"][r]) for s in (0, 1)]
-            take = [
-                (np.array([rows["digest"][r] for r in m], np.int64), np.array([rows["copies"][r] for r in m], np.int64), [np.frombuffer(rows["grams"][r], U) for r in m])
-                for m in sides
-            ]
-            if take[0][2] and not take[1][2]:
-                got += links(*take[0], *take[0], True)
-            elif take[0][2]:
-                got += links(*take[0], *take[1], False)
-        parts = [np.concatenate([np.asarray(g[k], np.int64) for g in got]) if got else np.empty(0, np.int64) for k in range(3)]
-        return pa.table({"src": parts[1], "dst": parts[0], "links": parts[2]})
+        rows = table.select(["key", "side", "digest", "grams"]).to_pydict()
+        groups: dict[int, tuple[dict, dict]] = {}
+        for r, c in enumerate(rows["key"]):
+            groups.setdefault(c, ({}, {}))[rows["side"][r]][rows["digest"][r]] = r
+        got = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for sides in groups.values():
+            ids = [np.array(sorted(m), np.int64) for m in sides]
+            sets = [[np.frombuffer(rows["grams"][m[d]], U) for d in i.tolist()] for m, i in zip(sides, ids, strict=True)]
+            if sets[0]:  # one side alone is met with itself
+                got += links(ids[0], sets[0], ids[1], sets[1]) if sets[1] else links(ids[0], sets[0], ids[0], sets[0])[:1]
+        src, dst = (np.concatenate([g[k] for g in got]) for k in (1, 0))
+        return pa.table({"src": src[src != dst], "dst": dst[src != dst]})
 
     return run
 
@@ -231,51 +243,100 @@ def _grams(k: int):
                 if keep[-1]:
                     seen.add(d)
             keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([*(b.column(c) for c in ("digest", "cls", "copies", "blocks")), binary(sets)], ["digest", "cls", "copies", "blocks", "grams"]).filter(keep)
+            yield pa.record_batch([b.column("digest"), binary(sets)], ["digest", "grams"]).filter(keep)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, copies: the links of 100 * intersection >= share * union.
+def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFrame:
+    """(digest, key, side, task): the verification that each candidate takes part in.
 
-    n_links counts the other rows that a row links with directly; copies the rows with its very set.
+    A class of at most `block` texts meets in one task. A larger one is cut into blocks: a pair from a short run
+    goes to the task of its two blocks, and texts of long runs meet all blocks of such texts.
     """
+    size = cand.groupBy("label").agg(F.count("*").alias("size"))
+    sized = stored(cand.join(size, "label").select(F.col("node").alias("digest"), F.col("label").alias("cls"), "size"), "sized")
+    whole = sized.where(F.col("size") <= block).select("digest", F.col("cls").alias("key"), F.lit(0).alias("side"))
+    wide = sized.where(F.col("size") > block)
+
+    blocks = F.ceil(F.col("size") / block)
+    i, j = F.pmod(F.xxhash64("src"), blocks), F.pmod(F.xxhash64("dst"), blocks)
+    sparse = pairs.where("not long").join(wide.withColumnRenamed("digest", "src"), "src").select("src", "dst", "cls", i.alias("i"), j.alias("j"))
+    key = F.xxhash64("cls", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair"))
+    two = F.array(F.struct(F.col("src").alias("digest"), (F.col("i") > F.col("j")).cast("int").alias("side")), F.struct(F.col("dst").alias("digest"), (F.col("j") > F.col("i")).cast("int").alias("side")))
+    sparse = sparse.select(key.alias("key"), F.explode(two).alias("t")).select("t.digest", "key", "t.side").distinct()
+
+    long = pairs.where("long")
+    long = long.select(F.col("src").alias("digest")).unionByName(long.select(F.col("dst").alias("digest"))).distinct().join(wide, "digest")
+    count = long.groupBy("cls").agg(F.ceil(F.count("*") / block).alias("n"))
+    dense = long.join(count, "cls").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dense = dense.select("digest", F.xxhash64("cls", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    small = F.pmod(F.xxhash64("key"), F.lit(parts * 4))
+    return whole.unionByName(sparse).withColumn("task", small).unionByName(dense.withColumn("task", F.col("key")))
+
+
+def _classes(docs: DataFrame, k: int, share: int, run: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, digest) of every row, and (digest, copies, low, label) of every set that is not empty."""
     spark = docs.sparkSession
     parts = width(spark) * 2
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stats = stored(texts.mapInArrow(_stats(k), "doc_id long, n long, digest long"), "sets")
     sets = stored(stats.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
-    blobs = texts.mapInArrow(_signatures(k, share, parts), "part int, ids binary, sigs binary")
-    stars = blobs.groupBy("part").applyInArrow(_stars, "src long, dst long")
-    cand = connected_components(stars)
-
-    sized = cand.groupBy("label").agg(F.count("*").alias("size"))
-    big = sized.where(F.col("size") > BLOCK)
-    members = (
-        cand.join(big, "label", "left")
-        .select(F.col("node").alias("digest"), F.col("label").alias("cls"), F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int").alias("blocks"))
-        .join(sets, "digest")
-    )
-    members = stored(members.select("digest", "cls", "blocks", "copies", F.coalesce("low", F.lit(-(1 << 63))).alias("low")), "candidates")
-    n = members.count()
-    rows = texts.withColumn("low", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id")
-    # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their block
-    grams = rows.join(small_side(members, n), "low").select("text", "digest", "cls", "copies", "blocks")
-    grams = grams.mapInArrow(_grams(k), "digest long, cls long, copies long, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = grams.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "digest", "copies", "grams", "cls", (F.col("own") > F.col("other")).cast("int").alias("side"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cls"), F.lit(parts * 4))).otherwise(F.xxhash64("cls", F.least("own", "other"), F.greatest("own", "other"))).alias("task"),
-    )
-    found = stored(dealt.groupBy("task").applyInArrow(_verified(share), "src long, dst long, links long"), "links")
-    linked = found.groupBy(F.col("dst").alias("digest")).agg(F.sum("links").alias("links"))
-    top = connected_components(found.select("src", "dst"))
-    classes = sets.join(top.withColumnRenamed("node", "digest"), "digest", "left").join(linked, "digest", "left")
-    classes = classes.select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    blobs = texts.mapInArrow(_signatures(k, share, parts), "part int, ids binary, sigs binary, needs binary")
+    pairs = blobs.groupBy("part").applyInArrow(_pairs(run), "src long, dst long, long boolean, n long, need long")
+    # a linked pair shares `need` fragments: all in short runs, or it has a long run in common and meets there
+    pairs = stored(pairs.groupBy("src", "dst", "long").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("long or n >= need").select("src", "dst", "long"), "pairs")
+    cand = connected_components(pairs.select("src", "dst"))
+    dealt = stored(_dealt(pairs, cand, parts, block), "dealt")
+
+    none = F.lit(-(1 << 63))
+    members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", F.coalesce("low", none).alias("low")), "candidates")
+    rows = texts.select(F.coalesce("doc_id", none).alias("low"), "text")
+    # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their task
+    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest").mapInArrow(_grams(k), "digest long, grams binary")
+    sent = grams.join(small_side(dealt, dealt.count()), "digest").select("task", "key", "side", "digest", "grams")
+    top = connected_components(sent.groupBy("task").applyInArrow(_verified(share), "src long, dst long"))
+
+    return stats, sets.join(top.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, copies: components of the links 100 * intersection >= share * union.
+
+    copies counts the rows with the very set of a row. run: members of a signature's run that are paired one by
+    one; block: texts of one side of a verified block. Both only deal out the work, they drop nothing.
+    """
+    stats, classes = _classes(docs, k, share, run, block)
     lows = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = stored(classes.join(lows, "label").select("digest", "component_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
-    out = stats.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "copies")
-    none = stats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return out.unionByName(none)
+    classes = stored(classes.join(lows, "label").select("digest", "component_id", "copies"), "classes")
+    out = stats.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies")
+    alone = stats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    return out.unionByName(alone)
+
+
+def _with_digest(k: int):
+    def run(batches):
+        for b in batches:
+            d = pa.array([digest(u) if len(u) else None for u in text_sets(b.column("text"), k)], pa.int64())
+            yield pa.record_batch([*b.columns, d], [*b.schema.names, "digest_"])
+
+    return run
+
+
+def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that of the smallest doc_id (null last), then of the
+    smallest set hash; of repeated rows one. Rows with an empty set all stay.
+    """
+    stats, classes = _classes(docs, k, share, run, block)
+    many = classes.groupBy("label").agg(F.sum("copies").alias("n")).where("n > 1").select("label")
+    rows = stored(stats.where("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("rows_")).join(classes.select("digest", "label").join(many, "label"), "digest"), "members")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("f"))
+    marked = rows.join(first, "label").select("doc_id", "digest", "rows_", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest"))).alias("kept"))
+    marked = stored(marked.where("not kept or rows_ > 1").select(F.col("doc_id").alias("id_"), F.col("digest").alias("other_"), "kept"), "marked")
+    names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"))
+    schema = packed.select("id", "text", "row_").schema.add("digest_", "long")
+    seen = packed.mapInArrow(_with_digest(k), schema).drop("text")
+    joined = seen.join(small_side(marked, marked.count()), F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("other_")), "left")
+    out = joined.where("kept is null").select("row_").unionByName(joined.where("kept").dropDuplicates(["id", "digest_"]).select("row_"))
+    return out.select(*[F.col(f"row_.{names[c]}").alias(c) for c in docs.columns])
