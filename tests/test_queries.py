@@ -6,17 +6,12 @@ from collections import Counter
 import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from quarry import queries as base
 
-try:
-    from quarry.llm import queries as llm
-except ImportError:
-    llm = None
-
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**base.QUERIES, **(llm.queries() if llm else {})}
-ORACLE = {**base.ORACLE, **(llm.oracle_sql() if llm else {})}
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
