@@ -556,6 +556,76 @@ def cache_budget(spark: SparkSession, sf: str) -> DataFrame:
     return folds.folded(V.observations(spark, sf).select("peer", "t", "id", "value"), "peer", ["t", "id"], lambda: [256 << 20], step, "peer string, id long, budget long")
 
 
+@query()
+def epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """A peer's observations in epochs of an hour."""
+
+    def step(e, r):
+        got = e.add(r["t"], int(r["value"] * 1000), r["ok"])
+        return got and (r["peer"], *got)
+
+    rows = V.observations(spark, sf).select("peer", "t", "id", "value", "ok")
+    return folds.folded(rows, "peer", ["t", "id"], lambda: folds.Epochs(3_600_000_000), step, "peer string, start long, end long, rate double, consumer_bound boolean, ok long, errors long")
+
+
+@query()
+def leases(spark: SparkSession, sf: str) -> DataFrame:
+    """Which event types get hold of a user, an error releasing what it holds."""
+
+    def step(lease, r):
+        got = lease.claim(r["t"], r["peer"])
+        if not r["ok"]:
+            lease.release(r["peer"])
+        return r["set"], r["id"], got
+
+    rows = V.observations(spark, sf).select("set", "t", "id", "peer", "ok")
+    return folds.folded(rows, "set", ["t", "id"], lambda: folds.Leases(86_400_000_000), step, "set long, id long, granted boolean")
+
+
+@query()
+def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits and evictions of each supplier's cache over its lines in order."""
+
+    def step(c, r):
+        return r["l_suppkey"], r["l_orderkey"], r["l_linenumber"], *c.use(r["l_partkey"], int(r["l_quantity"]))
+
+    rows = V.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return folds.folded(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], lambda: folds.LruCache(500), step, "l_suppkey long, l_orderkey long, l_linenumber long, hit boolean, evicted long")
+
+
+@query()
+def transfer_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Attempts of a simulated transfer of each document from three peers, sized by their rates."""
+    rates = {"near": 4e4, "far": 1e4, "thin": 2e3}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for tree, size in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
+                for p, off, n, began, end, ok in folds.transfer(size or 0, rates, lambda r: int(min(max(r / 10, 512), 4096)), {"thin": tree % 2}):
+                    out.append((tree, p, off, n, began, end, ok))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "peer", "off", "len", "began", "ended", "ok"])
+
+    d = V.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return d.mapInArrow(run, "tree long, peer string, off long, len long, began double, ended double, ok boolean")
+
+
+@query("""
+, e as (select "set", t, 1 as d from v_obs union all select "set", t + 3600000000, -1 from v_obs),
+s as (select "set", t, sum(d) over (partition by "set" order by t, d rows between unbounded preceding and current row) as n from e)
+select "set", max(n)::bigint as most from s group by 1""")
+def in_flight(spark: SparkSession, sf: str) -> DataFrame:
+    """Most of a user's observations in flight at once, each lasting an hour: a running sum of starts and ends."""
+    o = V.observations(spark, sf)
+    e = o.select("set", "t", F.lit(1).alias("d")).unionByName(o.select("set", (F.col("t") + 3_600_000_000).alias("t"), F.lit(-1).alias("d")))
+    w = W.partitionBy("set").orderBy("t", "d").rowsBetween(W.unboundedPreceding, 0)
+    return e.withColumn("n", F.sum("d").over(w)).groupBy("set").agg(F.max("n").alias("most"))
+
+
 @query("""
 , l as (select p_partkey, p_size || case p_partkey % 6 when 0 then '' when 1 then 'KiB' when 2 then 'MiB' when 3 then '.5GiB' when 4 then 'MB' else 'TiB' end as literal, p_size, p_partkey % 6 as u from part)
 select p_partkey, literal, case u when 0 then p_size when 1 then p_size * 1024 when 2 then p_size * 1048576 when 3 then (p_size + 0.5) * 1073741824 when 4 then null else p_size * 1099511627776 end::bigint as bytes from l""")
