@@ -79,7 +79,7 @@ def fragments(u: np.ndarray, starts: list[int], share: int) -> tuple[np.ndarray,
         if c < 0:
             continue
         most = differing(starts[c + 2] - 1, share)
-        g = most + most // 8 + 3
+        g = most + most // 4 + 3
         f = ((u >> U(32)) * U(g)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
         own = f[first]
@@ -144,42 +144,62 @@ def _signatures(k: int, share: int, parts: int):
 
 
 def _pairs(run: int):
-    """What the runs of equal signatures pair, how often, and how often at least a linked pair would be.
+    """What the runs of equal signatures say, with `need`, the fragments that a linked pair shares at least.
 
-    All members of a short run are paired; of a long one each with the smallest.
+    All members of a short run are paired: (src, dst, n times). A member of a long run is named with its
+    signature instead: (src, the signature as dst, long).
     """
 
     def pair(table: pa.Table) -> pa.Table:
         ids, sigs, needs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("sigs", U), ("needs", np.uint8)))
-        order = np.argsort(sigs)
+        order = np.lexsort((ids, sigs))
         ids, sigs, needs = ids[order], sigs[order], needs[order]
+        once = np.ones(len(ids), bool)  # copies of a set come from several tasks
+        once[1:] = (ids[1:] != ids[:-1]) | (sigs[1:] != sigs[:-1])
+        ids, sigs, needs = ids[once], sigs[once], needs[once]
         first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
         size = np.diff(np.append(first, len(ids)))
         within, size_of = np.arange(len(ids)) - np.repeat(first, size), np.repeat(size, size)
-        hub = np.repeat(np.minimum.reduceat(ids, first), size)
-        far = (size_of > run) & (hub != ids)
-        a, b, need, long = [hub[far]], [ids[far]], [needs[far]], [np.ones(far.sum(), bool)]
+        far = size_of > run
+        a, b, need = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
         for step in range(1, min(run, int(size.max(initial=1)))):
-            at = np.flatnonzero((size_of <= run) & (within + step < size_of))
-            x, y = ids[at], ids[at + step]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
+            at = np.flatnonzero(~far & (within + step < size_of))
+            a.append(ids[at])
+            b.append(ids[at + step])
             need.append(np.maximum(needs[at], needs[at + step]))
-            long.append(np.zeros(len(at), bool))
-        a, b, need, long = (np.concatenate(x) for x in (a, b, need, long))
-        order = np.lexsort((long, b, a))
-        a, b, need, long = a[order], b[order], need[order], long[order]
+        a, b, need = (np.concatenate(x) for x in (a, b, need))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
         new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (long[1:] != long[:-1])
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(a)))
-        keep = a[at] != b[at]
-        at, n = at[keep], n[keep]
-        return pa.table({"src": a[at], "dst": b[at], "long": long[at], "n": n.astype(np.int64), "need": need[at].astype(np.int64)})
+        far = np.flatnonzero(far)
+        columns = {"src": (a[at], ids[far]), "dst": (b[at], sigs[far].view(np.int64)), "long": (np.zeros(len(at), bool), np.ones(len(far), bool)), "n": (n, np.ones(len(far), np.int64)), "need": (need[at], needs[far])}
+        return pa.table({c: np.concatenate(v) if c == "long" else np.concatenate(v).astype(np.int64) for c, v in columns.items()})
 
     return pair
 
 
+def _candidates(found: DataFrame) -> DataFrame:
+    """(src, dst, long): the pairs that can share as many fragments as they need.
+
+    A pair shares what it has in common in short runs, and in long ones at most what each of the two has in
+    long runs at all. With something in a short run it is checked as a pair. With nothing there both need
+    enough long runs; such texts are tied to the least one of each of their runs.
+    """
+    long = found.where("long").select(F.col("src").alias("node"), F.col("dst").alias("sig"), "need")
+    count = stored(long.groupBy("node").agg(F.count("*").alias("m"), F.max("need").alias("need")), "runs")
+    left, right = count.select(F.col("node").alias("src"), F.col("m").alias("m1")), count.select(F.col("node").alias("dst"), F.col("m").alias("m2"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    short = found.where("not long").groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    short = short.join(left, "src", "left").join(right, "dst", "left").where(F.col("n") + F.least(zero("m1"), zero("m2")) >= F.col("need"))
+    able = long.join(count.where("m >= need").select("node"), "node", "left_semi")
+    low = able.groupBy("sig").agg(F.min("node").alias("low"))
+    tied = able.join(low, "sig").where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    return short.select("src", "dst", F.lit(False).alias("long")).unionByName(tied.withColumn("long", F.lit(True)))
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all pairs: partial counts by fragment of the order, summed."""
     a, b = np.concatenate(left), np.concatenate(right)
@@ -283,9 +303,8 @@ def _classes(docs: DataFrame, k: int, share: int, run: int, block: int) -> tuple
     stats = stored(texts.mapInArrow(_stats(k), "doc_id long, n long, digest long"), "sets")
     sets = stored(stats.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
     blobs = texts.mapInArrow(_signatures(k, share, parts), "part int, ids binary, sigs binary, needs binary")
-    pairs = blobs.groupBy("part").applyInArrow(_pairs(run), "src long, dst long, long boolean, n long, need long")
-    # a linked pair shares `need` fragments: all in short runs, or it has a long run in common and meets there
-    pairs = stored(pairs.groupBy("src", "dst", "long").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("long or n >= need").select("src", "dst", "long"), "pairs")
+    found = stored(blobs.groupBy("part").applyInArrow(_pairs(run), "src long, dst long, long boolean, n long, need long"), "found")
+    pairs = stored(_candidates(found), "pairs")
     cand = connected_components(pairs.select("src", "dst"))
     dealt = stored(_dealt(pairs, cand, parts, block), "dealt")
 
@@ -314,11 +333,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int =
     return out.unionByName(alone)
 
 
-def _with_digest(k: int):
+def _with_digest(k: int, text: str):
     def run(batches):
         for b in batches:
-            d = pa.array([digest(u) if len(u) else None for u in text_sets(b.column("text"), k)], pa.int64())
-            yield pa.record_batch([*b.columns, d], [*b.schema.names, "digest_"])
+            d = [digest(u) if len(u) else None for u in text_sets(b.column("row_").field(text), k)]
+            yield pa.record_batch([*b.columns, pa.array(d, pa.int64())], [*b.schema.names, "digest_"])
 
     return run
 
@@ -334,9 +353,8 @@ def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block
     marked = rows.join(first, "label").select("doc_id", "digest", "rows_", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest"))).alias("kept"))
     marked = stored(marked.where("not kept or rows_ > 1").select(F.col("doc_id").alias("id_"), F.col("digest").alias("other_"), "kept"), "marked")
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"))
-    schema = packed.select("id", "text", "row_").schema.add("digest_", "long")
-    seen = packed.mapInArrow(_with_digest(k), schema).drop("text")
+    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"))
+    seen = packed.mapInArrow(_with_digest(k, names["text"]), packed.select("*").schema.add("digest_", "long"))
     joined = seen.join(small_side(marked, marked.count()), F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("other_")), "left")
     out = joined.where("kept is null").select("row_").unionByName(joined.where("kept").dropDuplicates(["id", "digest_"]).select("row_"))
     return out.select(*[F.col(f"row_.{names[c]}").alias(c) for c in docs.columns])
