@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fresh_path, width
 from .kernels import CHUNK, PIECE, SPACED, U, buffers
 
-KEPT_WORDS = 1_500_000  # about 60 MB a worker
-SLICE = 8 << 20  # bytes of text encoded at once
+KEPT_WORDS = 500_000  # about 20 MB a worker
+SLICE = 2 << 20  # bytes of text encoded at once
 ROW = "doc_id long, shard int, pos long, local_start long, n_tokens long, ids array<int>"
 
 
