@@ -45,6 +45,7 @@ LISTS = frozenset({"ul", "ol", "dl", "menu", "table", "select"})
 
 
 DEPTH = 64  # elements nested deeper share the path of this depth
+FLUSH = 50_000  # tokens that a task holds before it hands them on
 
 
 class Block:
@@ -166,7 +167,12 @@ def host(url: str = "url") -> Column:
 
 
 def _occurrences(batches):
-    """(host, token, kind, parent, n) of each page; text tokens only where no main part decides."""
+    """(host, page, token, kind, path, n) of each page."""
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def batch(cols):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "page", "token", "kind", "path", "n"])
+
     for b in batches:
         cols: list[list] = [[] for _ in range(6)]
         for where, page, text in zip(b.column("host").to_pylist(), b.column("page").to_pylist(), b.column("html").to_pylist(), strict=True):
@@ -174,17 +180,19 @@ def _occurrences(batches):
                 continue
             blocks, paths = parse(text)
             rows = [(_token("page"), "root", "", 1), *((_token("path", p), "path", p, n) for p, n in paths.items())]
-            if not any(x.main and not x.out for x in blocks):
-                seen: dict[tuple[str, str], int] = {}
-                for x in blocks:
-                    if not x.out:
-                        seen[x.path, x.text()] = seen.get((x.path, x.text()), 0) + 1
-                rows += [(_token("text", p, t), "text", p, n) for (p, t), n in seen.items()]
+            seen: dict[tuple[str, str], int] = {}
+            for x in blocks:
+                if not x.out:
+                    key = x.path, x.text()
+                    seen[key] = seen.get(key, 0) + 1
+            rows += [(_token("text", p, t), "text", p, n) for (p, t), n in seen.items()]
             for row in rows:
                 for c, v in zip(cols, (where, page, *row), strict=True):
                     c.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "page", "token", "kind", "path", "n"])
+            if len(cols[0]) >= FLUSH:
+                yield batch(cols)
+                cols = [[] for _ in range(6)]
+        yield batch(cols)
 
 
 def templates(pages: DataFrame, least: int = 3, share: float = 0.5, size: int = 3) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 from html import escape
 
+import pytest
+
 from quarry.llm.htmltext import main_text, parse
 from quarry.llm.queries import op6_main_text
 
@@ -52,6 +54,18 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {"Same\n\na < b"}
 
 
+@pytest.mark.parametrize("marked", [1, 8])
+def test_template_of_a_host_with_marked_pages(spark, marked):
+    """Marked pages with the host's frame leave its template to the pages without a mark."""
+
+    def page(i):
+        own = f"<article><p>Own text {i}</p></article>" if i < marked else f"<div class=body><div>Own text {i}</div></div>"
+        return f"<html><body><div class=x>Site of things</div><div class=y>Call us today</div><div class=z>Terms</div>{own}</body></html>"
+
+    rows = [(i, f"http://h.example.com/{i}", page(i), "", "", "") for i in range(12)]
+    assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: f"Own text {i}" for i in range(12)}
+
+
 def test_table_against_plain_reading(spark):
     import html
 
