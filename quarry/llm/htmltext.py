@@ -6,8 +6,9 @@ the same vector form an equivalence class. The class of the tokens that every pa
 the page's root, is the template; a further class is nested into it if most of the host's pages have it, it
 is large, and its tokens' paths continue one of the template's. Text blocks of the template, and blocks below
 elements that the page itself marks as no content (menus, headers, footers, sidebars, notices, adverts, forms,
-comments), are removed. What is left are the template's slots; if one of them is marked as the article or main
-part, its text is the result, else the text of all slots.
+comments), are removed, inside marked parts too. What is left are the template's slots; if one of them is marked
+as the article or main part, its text is the result, else the text of all slots. A marked part with nothing but
+template is a repeated article and stays whole.
 
 Vectors are compared by a hash summed over pages, so no host's pages are ever gathered in one place.
 
@@ -221,11 +222,13 @@ def _extract(batches):
         for page, texts in zip(b.column("html").to_pylist(), b.column("texts").to_pylist(), strict=True):
             blocks = [x for x in parse(page)[0] if not x.out] if page else []
             level = max((x.main for x in blocks), default=0)
-            if level:
-                blocks = [x for x in blocks if x.main == level]
-            elif texts:
-                known = set(texts)
-                blocks = [x for x in blocks if _token("text", x.path, x.text()) not in known]
+            known = set(texts or ())
+            slots = [x for x in blocks if _token("text", x.path, x.text()) not in known] if known else blocks
+            own = [x for x in slots if x.main == level]
+            if level and not own:  # the whole article is repeated, as copies are: it stays
+                rest = set(slots)
+                own = [x for x in blocks if x.main == level or (x.main and x in rest)]
+            blocks = own
             out.append("\n\n".join(x.text() for x in blocks))
         n = pa.array([len(t) for t in out], pa.int64())
         yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], ["page_id", "url", "text", "n_chars"])

@@ -66,6 +66,16 @@ def test_template_of_a_host_with_marked_pages(spark, marked):
     assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {i: f"Own text {i}" for i in range(12)}
 
 
+def test_template_inside_marked_parts(spark):
+    def page(i):
+        return f"<html><body><p>Site</p><main><div>Share this story</div><article><h1>Title {i}</h1><div class=x>Call us today</div><p>Own text {i}</p><div class=y>Terms</div></article></main></body></html>"
+
+    rows = [(i, f"http://h.example.com/{i}", page(i), "", "", "") for i in range(12)]
+    rows += [(i, f"http://h.example.net/{i}", f"<main><article><p>Same</p></article><div>Of day {i}</div></main><div>Tail {i}</div>", "", "", "") for i in range(20, 32)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Title {i}\n\nOwn text {i}" for i in range(12)} | {i: f"Same\n\nOf day {i}" for i in range(20, 32)}
+
+
 def test_table_against_plain_reading(spark):
     import html
 
