@@ -34,6 +34,8 @@ LEXER = re.compile(
 ATTR = re.compile(r"""([A-Za-z_:][\w:.-]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 #: Elements whose content is no text of the page, that end nothing, that flow inside a block, and that hold no content.
 RAW = frozenset({"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "noembed", "noframes", "xmp"})
+MARKUP = frozenset({"noscript", "template", "svg", "math"})  # those of RAW that hold elements themselves
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
 INLINE = frozenset({"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"})
 OUTSIDE = frozenset({"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "object", "audio", "video", "canvas"})
@@ -77,18 +79,27 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
     """Text blocks in page order, and how often each element path occurs."""
     stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
     blocks, paths = [Block("", False, 0)], {}
-    raw = None
+    raw, at = None, 0
 
     def boundary():
         if blocks[-1].parts:
             blocks.append(None)
         blocks[-1] = Block(*stack[-1][1:])
 
-    for m in LEXER.finditer(page):
+    def after(name: str) -> int:
+        """Where the content of a raw element that starts here ends."""
+        end = RAW_END[name].search(page, at)
+        return end.end() if end else len(page)
+
+    while m := LEXER.match(page, at):
+        at = m.end()
         closing, name = m[1], m[2]
         if raw:
-            if name and closing and name.lower() == raw:
+            low = name.lower() if name else ""
+            if closing and low == raw:
                 raw = None
+            elif not closing and low in RAW - MARKUP and not m[3].endswith("/"):
+                at = after(low)
             continue
         if not name:
             if m[0][0] != "<" or m[0] == "<":
@@ -121,8 +132,10 @@ def parse(page: str) -> tuple[list[Block], dict[str, int]]:
             continue
         attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(m[3])} | ({"hidden": ""} if re.search(r"\shidden(\s|/|$)", m[3]) else {})
         if name in RAW:
-            if not m[3].endswith("/"):
-                raw = name
+            if name in MARKUP:
+                raw = None if m[3].endswith("/") else name
+            elif not m[3].endswith("/"):
+                at = after(name)
             continue
         if name in VOID:
             if name == "hr":

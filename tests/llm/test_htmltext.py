@@ -33,6 +33,18 @@ def test_parse_cases():
         assert text_of(page) == want, page
 
 
+def test_raw_content_is_no_markup():
+    cases = {
+        "<script>for(i=0;i<n;i++){f()}</script><article>a<p>b</article>": "a\n\nb",
+        "<article>a<SCRIPT>x='<!--'; if(i<n)y</Script >b<style>a<b{}</STYLE\n>c</article><script>i<n</script>": "abc",
+        "<article>a<script>s('</scripted>'+\"<p title='\")</script>b</article><p>tail": "ab",
+        "<article>a<template><script>i<n</template></script><p>t</p></template>b<svg><path d='</svg>'/><!-- </svg> --></svg>c</article>": "abc",
+        "<article>a<textarea><!-- <p></textarea>b<iframe/>c<script>i<n": "abc",
+    }
+    for page, want in cases.items():
+        assert text_of(page) == want, page
+
+
 def test_template_of_unmarked_pages(spark):
     def page(i, extra=""):
         return f"<html><body><div class=x>Site of things</div><div class=y>Call us today</div><div class=z>Terms</div><div class=body><div>Own text {i}</div><div>Common line</div>{extra}</div></body></html>"
