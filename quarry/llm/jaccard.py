@@ -221,34 +221,44 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(share: int):
-    """Links of the texts dealt to a task, as edges to the least text that a text is linked with."""
+    """Links of the texts dealt to a task: as edges to the least text that a text is linked with, and for each text
+    the rows of the other texts that it is linked with. Pairs that meet in a block of wide texts as well count there.
+    """
 
-    def links(ids, sets, ids2, sets2):
+    def links(ids, sets, copies, wide, ids2, sets2, copies2, wide2):
         n, n2 = np.array([len(u) for u in sets]), np.array([len(u) for u in sets2])
         o = overlaps(sets, sets2)
         near = 100 * o >= share * (n[:, None] + n2[None, :] - o)
+        counted = near & (ids[:, None] != ids2[None, :]) & ~(wide[:, None] & wide2[None, :])
+        many, many2 = counted @ copies2, copies @ counted
         label, label2 = ids, ids2
         big = np.iinfo(np.int64).max
         while True:  # least label over the links, until nothing moves
             a = np.minimum(label, np.where(near, label2[None, :], big).min(1))
             b = np.minimum(label2, np.where(near, a[:, None], big).min(0))
             if (a == label).all() and (b == label2).all():
-                return [(ids, label), (ids2, label2)]
+                return [(ids, label, many), (ids2, label2, many2)]
             label, label2 = a, b
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["key", "side", "digest", "grams"]).to_pydict()
+        rows = table.select(["key", "side", "one", "wide", "digest", "copies", "grams"]).to_pydict()
         groups: dict[int, tuple[dict, dict]] = {}
         for r, c in enumerate(rows["key"]):
             groups.setdefault(c, ({}, {}))[rows["side"][r]][rows["digest"][r]] = r
-        got = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        got = [(np.empty(0, np.int64),) * 3]
         for sides in groups.values():
-            ids = [np.array(sorted(m), np.int64) for m in sides]
-            sets = [[np.frombuffer(rows["grams"][m[d]], U) for d in i.tolist()] for m, i in zip(sides, ids, strict=True)]
-            if sets[0]:  # one side alone is met with itself
-                got += links(ids[0], sets[0], ids[1], sets[1]) if sets[1] else links(ids[0], sets[0], ids[0], sets[0])[:1]
-        src, dst = (np.concatenate([g[k] for g in got]) for k in (1, 0))
-        return pa.table({"src": src[src != dst], "dst": dst[src != dst]})
+            take = []
+            for m in sides:
+                at = [m[d] for d in sorted(m)]
+                column = lambda c, t, at=at: np.array([rows[c][r] for r in at], t)
+                take.append((column("digest", np.int64), [np.frombuffer(rows["grams"][r], U) for r in at], column("copies", np.int64), column("wide", bool)))
+            if any(rows["one"][r] for m in sides for r in m.values()):  # the texts of one block meet each other
+                got += links(*take[0], *take[0])[:1]
+            elif take[0][1] and take[1][1]:
+                got += links(*take[0], *take[1])
+        dst, src, many = (np.concatenate([g[k] for g in got]) for k in range(3))
+        some = (src != dst) | (many > 0)
+        return pa.table({"src": src[some], "dst": dst[some], "links": many[some]})
 
     return run
 
@@ -263,20 +273,21 @@ def _grams(k: int):
                 if keep[-1]:
                     seen.add(d)
             keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([b.column("digest"), binary(sets)], ["digest", "grams"]).filter(keep)
+            yield pa.record_batch([b.column("digest"), b.column("copies"), binary(sets)], ["digest", "copies", "grams"]).filter(keep)
 
     return run
 
 
 def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFrame:
-    """(digest, key, side, task): the verification that each candidate takes part in.
+    """(digest, key, side, one, wide, task): the verification that each candidate takes part in.
 
     A class of at most `block` texts meets in one task. A larger one is cut into blocks: a pair from a short run
-    goes to the task of its two blocks, and texts of long runs meet all blocks of such texts.
+    goes to the task of its two blocks, and texts of long runs meet all blocks of such texts. one: both blocks of
+    the key are the same. wide: a text of a pair's task that meets all blocks too; two such texts count there.
     """
     size = cand.groupBy("label").agg(F.count("*").alias("size"))
     sized = stored(cand.join(size, "label").select(F.col("node").alias("digest"), F.col("label").alias("cls"), "size"), "sized")
-    whole = sized.where(F.col("size") <= block).select("digest", F.col("cls").alias("key"), F.lit(0).alias("side"))
+    whole = sized.where(F.col("size") <= block).select("digest", F.col("cls").alias("key"), F.lit(0).alias("side"), F.lit(True).alias("one"), F.lit(False).alias("wide"))
     wide = sized.where(F.col("size") > block)
 
     blocks = F.ceil(F.col("size") / block)
@@ -284,19 +295,20 @@ def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFra
     sparse = pairs.where("not long").join(wide.withColumnRenamed("digest", "src"), "src").select("src", "dst", "cls", i.alias("i"), j.alias("j"))
     key = F.xxhash64("cls", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair"))
     two = F.array(F.struct(F.col("src").alias("digest"), (F.col("i") > F.col("j")).cast("int").alias("side")), F.struct(F.col("dst").alias("digest"), (F.col("j") > F.col("i")).cast("int").alias("side")))
-    sparse = sparse.select(key.alias("key"), F.explode(two).alias("t")).select("t.digest", "key", "t.side").distinct()
+    sparse = sparse.select(key.alias("key"), (F.col("i") == F.col("j")).alias("one"), F.explode(two).alias("t")).select("t.digest", "key", "t.side", "one").distinct()
 
     long = pairs.where("long")
-    long = long.select(F.col("src").alias("digest")).unionByName(long.select(F.col("dst").alias("digest"))).distinct().join(wide, "digest")
+    long = stored(long.select(F.col("src").alias("digest")).unionByName(long.select(F.col("dst").alias("digest"))).distinct().join(wide, "digest"), "long")
+    sparse = sparse.join(long.select("digest", F.lit(True).alias("wide")), "digest", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     count = long.groupBy("cls").agg(F.ceil(F.count("*") / block).alias("n"))
     dense = long.join(count, "cls").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    dense = dense.select("digest", F.xxhash64("cls", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dense = dense.select("digest", F.xxhash64("cls", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("one"), F.lit(False).alias("wide"))
     small = F.pmod(F.xxhash64("key"), F.lit(parts * 4))
     return whole.unionByName(sparse).withColumn("task", small).unionByName(dense.withColumn("task", F.col("key")))
 
 
 def _classes(docs: DataFrame, k: int, share: int, run: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and (digest, copies, low, label) of every set that is not empty."""
+    """(doc_id, n, digest) of every row, and (digest, copies, low, label, links) of every set that is not empty."""
     spark = docs.sparkSession
     parts = width(spark) * 2
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -309,27 +321,28 @@ def _classes(docs: DataFrame, k: int, share: int, run: int, block: int) -> tuple
     dealt = stored(_dealt(pairs, cand, parts, block), "dealt")
 
     none = F.lit(-(1 << 63))
-    members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", F.coalesce("low", none).alias("low")), "candidates")
+    members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", "copies", F.coalesce("low", none).alias("low")), "candidates")
     rows = texts.select(F.coalesce("doc_id", none).alias("low"), "text")
     # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their task
-    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest").mapInArrow(_grams(k), "digest long, grams binary")
-    sent = grams.join(small_side(dealt, dealt.count()), "digest").select("task", "key", "side", "digest", "grams")
-    top = connected_components(sent.groupBy("task").applyInArrow(_verified(share), "src long, dst long"))
-
-    return stats, sets.join(top.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"))
+    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest", "copies").mapInArrow(_grams(k), "digest long, copies long, grams binary")
+    sent = grams.join(small_side(dealt, dealt.count()), "digest").select("task", "key", "side", "one", "wide", "digest", "copies", "grams")
+    near = stored(sent.groupBy("task").applyInArrow(_verified(share), "src long, dst long, links long"), "near")
+    linked = near.groupBy(F.col("dst").alias("digest")).agg(F.sum("links").alias("links"))
+    top = connected_components(near.select("src", "dst")).withColumnRenamed("node", "digest")
+    return stats, sets.join(top, "digest", "left").join(linked, "digest", "left").select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, copies: components of the links 100 * intersection >= share * union.
+    """doc_id, n_shingles, component_id, n_links, copies: the links 100 * intersection >= share * union.
 
-    copies counts the rows with the very set of a row. run: members of a signature's run that are paired one by
+    n_links counts the other rows that a row links with directly, copies the rows with its very set. run: members of a signature's run that are paired one by
     one; block: texts of one side of a verified block. Both only deal out the work, they drop nothing.
     """
     stats, classes = _classes(docs, k, share, run, block)
     lows = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = stored(classes.join(lows, "label").select("digest", "component_id", "copies"), "classes")
-    out = stats.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "copies")
-    alone = stats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("copies"))
+    classes = stored(classes.join(lows, "label").select("digest", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), "classes")
+    out = stats.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "copies")
+    alone = stats.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
     return out.unionByName(alone)
 
 

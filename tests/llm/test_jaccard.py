@@ -83,3 +83,28 @@ def test_very_long_text(spark, monkeypatch):
     rng = random.Random(8)
     long = " ".join(str(rng.randrange(10**6)) for _ in range(20_000))
     same(spark, [(1, long, "", 1, 1), (2, f"{long} more", "", 1, 1), (3, "x" * 30_000 + " y z", "", 1, 1), (4, "short one", "", 1, 1)])
+
+
+def plain_links(rows, k=4, share=85):
+    """(doc_id, n_links) by comparing all pairs of rows."""
+    sets = []
+    for _, text, *_ in rows:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    near = lambda a, b: a and b and 100 * len(a & b) >= share * len(a | b)
+    return Counter((r[0], sum(bool(near(a, b)) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize("how", [{}, {"run": 3, "block": 8}, {"run": 6, "block": 8}, {"run": 32, "block": 8}, {"run": 3, "block": 2}])
+def test_number_of_links(spark, how):
+    """Each pair once, however it is dealt: copies, whole classes, pairs of short runs, blocks of long runs."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    rows = [(1000, "", "en", 1, 2), (1001, "one alone of all", "en", 1, 2), (1002, "two alike", "en", 1, 2), (1003, "two  alike", "en", 1, 2)]
+    for i in range(48):
+        t = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 1, 2, 3])):
+            t[at] = f"x{i}"
+        rows += [(len(rows), " ".join(t), "en", 1, 2)] * rng.choice([1, 1, 1, 2])
+    got = jaccard_components(spark.createDataFrame(rows, SCHEMA), **how).select("doc_id", "n_links").collect()
+    assert Counter(tuple(r) for r in got) == plain_links(rows)
