@@ -12,6 +12,8 @@ and no rows; other columns are not written.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from functools import lru_cache
 
@@ -33,13 +35,15 @@ class Encoder:
     """Texts to ids, each distinct word going through the tokenizer once while the worker's table holds it.
 
     The tokenizer drops case and never joins across white space, so a text's ids are those of its words in
-    order. The table has the words' 64-bit hashes, sorted, and their ids in one array; row 0 is the end id.
+    order. The table has the words' 64-bit hashes, sorted, and their ids in one array; row 0 is the end id. Words
+    with an added token, which is matched with its case, are told apart by case too.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        self.exact = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values() if not t.normalized]
         self.reset()
 
     def reset(self) -> None:
@@ -67,6 +71,17 @@ class Encoder:
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
+    def cased(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The words' hashes, of those that hold an added token in any case with their bytes as they are."""
+        if not len(h):
+            return h
+        low, base = data[start[0] : end[-1]].tobytes().lower(), int(start[0])
+        found = {int(np.searchsorted(start, m.start() + base, "right")) - 1 for t in self.exact for m in re.finditer(re.escape(t), low)}
+        for i in found:
+            own = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+            h[i] = np.frombuffer(own, U)[0]
+        return h
+
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts data[offsets[i]:offsets[i+1]], each text with its end id, and each text's count."""
         parts, i = [], 0
@@ -80,6 +95,7 @@ class Encoder:
                 parts.append(SPACED.of(data, offsets[i : j + 1], places=True))
             i = j
         h, start, end = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+        h = self.cased(h, data, start, end)
         many = np.concatenate([np.diff(p[1]) for p in parts])
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > KEPT_WORDS:

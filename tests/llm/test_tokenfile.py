@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quarry.llm.queries import tokenizer_path
-from quarry.llm.tokenfile import read_tokens, token_digest, write_tokens
+from quarry.llm.tokenfile import Encoder, read_tokens, token_digest, write_tokens
 
 SCHEMA = "doc_id long, text string, shard string, ids string"
 
@@ -47,3 +47,13 @@ def test_round_trip(spark, data, tmp_path):
 def test_empty(spark, tmp_path):
     write_tokens(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none", tokenizer_path())
     assert token_digest(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_added_tokens_keep_their_case():
+    tok, e = Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path(), 1)
+    texts = ["<|endoftext|> Word", "<|ENDOFTEXT|> word", "a<|EndOfText|>B a<|endoftext|>b", "A<|ENDOFTEXT|>b x<|startoftext|><|StartOfText|>", "", "<|STARTOFTEXT|> <|startoftext|>"]
+    for some in ([t] for t in [*texts, *texts]), [texts, texts[::-1]]:
+        for group in some:
+            raw = [t.encode() for t in group]
+            ids, n = e.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in group]
