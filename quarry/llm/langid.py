@@ -97,8 +97,6 @@ def mixture(counts: np.ndarray, prob: np.ndarray, penalty: float = 6.0, rounds:
     chosen, weight = order[:1], np.ones(1)
     best = float(c @ np.log(p[:, order[0]]))
     for m in range(2, len(order) + 1):
-        if w[order[m - 1]] < 0.01:
-            break
         now, like = fit(order[:m], w[order[:m]] / w[order[:m]].sum())
         if like - best <= penalty + 0.5 * np.log(n):
             break

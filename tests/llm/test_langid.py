@@ -54,3 +54,14 @@ def test_long_text_is_counted_whole(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 1000)
     parts = langid.trigram_counts(data)
     assert abs(int(whole.sum()) - int(parts.sum())) <= 2 * 26
+
+
+def test_small_share_of_a_long_text():
+    """A language under a hundredth of the text, with thousands of letters, is a matter of likelihood alone."""
+    import numpy as np
+
+    a, b = "the thing that in the ring with tion and shall ", "der schatz ist ein haus und zeit keit ung pfad "
+    prob = np.stack([langid.trigram_counts(np.frombuffer((x * 50).encode(), np.uint8)) + 0.05 for x in (a, b)], 1)
+    prob /= prob.sum(0)
+    who, share = langid.mixture(langid.trigram_counts(np.frombuffer((a * 20_000 + b * 100).encode(), np.uint8)), prob)
+    assert list(who) == [0, 1] and share[1] == pytest.approx(0.005, abs=0.002)
