@@ -30,7 +30,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 ANCHOR = re.compile(r"[0-9@]+")
+RUN = re.compile(r"[A-Za-z0-9_-]*+")  # what a window is not cut in
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 SECRET = re.compile(r"""(?:[=:]\s*["']?|\b(?=[A-Z]{4}[A-Z0-9]{16}\b))([A-Za-z0-9_-]{16,})""")
 
@@ -69,10 +71,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @, at least CONTEXT characters apart."""
+    """Stretches around digits and @ with CONTEXT characters on both sides, widened to whole runs of letters, digits,
+    _ and -.
+    """
     out: list[list[int]] = []
     for m in ANCHOR.finditer(text):
         s, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        if out and e <= out[-1][1]:
+            continue
+        least = out[-1][1] if out else 0
+        while s > least and text[s - 1] in PART and text[s] in PART:
+            s -= 1
+        if text[e - 1] in PART:
+            e = RUN.match(text, e).end()
         if out and s <= out[-1][1]:
             out[-1][1] = e
         else:

@@ -84,3 +84,14 @@ def test_rows(spark, field):
     by = {r.doc_id: r for r in got}
     assert by[None].n_ip == 1 and by[None].base_sha256 == hashlib.sha256(b"ip:2:9").hexdigest() and by[3].spans == "email:0:6" and by[1].spans == ""
     assert pii.personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_windows_hold_whole_tokens(field):
+    for run in ["A1b2C3d4" + "q" * 40, "q" * 40 + "A1b2C3d4", "0123abcd" + "abcdef" * 8 + "9f01"]:
+        text = f"the password={run} for it, " + "and more words " * 4
+        assert any(s <= 4 + len("password=") and 4 + len("password=") + len(run) <= e for s, e in pii.windows(text))
+        tokens = [text[s:e] for w in pii.windows(text) for s, e in pii._prepared(text, w, {})[0]]
+        assert run in tokens
+        assert all(text[s:e] == run for s, e, k in pii.spans(text, field)[1] if s < 13 + len(run) and e > 13)
+    long = "a1" * 200_000 + "-" * 200_000
+    assert pii.windows(long) == [(0, len(long))]
