@@ -198,8 +198,8 @@ def _prepared(text: str, span: tuple[int, int], known):
     return tokens, segments(text, tokens, known)
 
 
-def fit(texts: list[str], most: int = 500, epochs: int = 4) -> Field:
-    """Trained on the first `most` windows of the texts."""
+def fit(texts: list[str], most: int | None = None, epochs: int = 4) -> Field:
+    """Trained on the windows of the texts, on the first `most` if given."""
     cases = []
     for text in texts:
         base = base_spans(text)
@@ -214,7 +214,7 @@ def fit(texts: list[str], most: int = 500, epochs: int = 4) -> Field:
                     gold.add((start[s], end[e], k))
                     busy = e
             cases.append((len(tokens), segs, gold))
-        if len(cases) >= most:
+        if most and len(cases) >= most:
             break
     field = Field()
     for epoch in range(epochs):
@@ -263,7 +263,9 @@ def _find(field: Field):
 
 
 def train(docs: DataFrame, sample: int = 1500) -> Field:
-    """A field from the texts of the `sample` documents with the smallest hash of their id, shortened to their windows."""
+    """A field from the texts of the `sample` documents with the smallest hash of their id, shortened to their windows;
+    of more than 2 * sample distinct windows those with the smallest hash.
+    """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id")).limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # `sample` ids
 
@@ -272,7 +274,7 @@ def train(docs: DataFrame, sample: int = 1500) -> Field:
             out = [(d, t[s:e]) for d, t in zip(b.column("doc_id").to_pylist(), (x or "" for x in b.column("text").to_pylist()), strict=True) for s, e in windows(t)]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["doc_id", "text"])
 
-    got = rows.mapInArrow(cut, "doc_id long, text string").orderBy(F.xxhash64("text"), "text").limit(2 * sample)
+    got = rows.mapInArrow(cut, "doc_id long, text string").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(2 * sample)
     return fit([r.text for r in got.collect()])
 
 

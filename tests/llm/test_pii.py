@@ -95,3 +95,14 @@ def test_windows_hold_whole_tokens(field):
         assert all(text[s:e] == run for s, e, k in pii.spans(text, field)[1] if s < 13 + len(run) and e > 13)
     long = "a1" * 200_000 + "-" * 200_000
     assert pii.windows(long) == [(0, len(long))]
+
+
+def test_training_takes_all_distinct_windows(spark, monkeypatch):
+    hot = "the token = 0123abcd9f0123abcd9f was"
+    docs = spark.createDataFrame([(i, f"{hot}{' ' * 60}in version {i}.7 of the text", "", 0) for i in range(700)], SCHEMA)
+    seen, steps = [], []
+    fit = pii.fit
+    monkeypatch.setattr(pii, "fit", lambda texts, **how: seen.extend(texts) or fit(texts, **how))
+    monkeypatch.setattr(pii.Field, "learn", lambda self, n, segs, gold, rate: steps.append(rate))
+    pii.train(docs)
+    assert len(seen) == len(set(seen)) == 701 and len(steps) == 4 * 701
