@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -26,7 +28,16 @@ def stored(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written to the shared folder and read again: a cut of lineage that lost executors cannot undo."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a stored table once all that was made of it is stored too."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:
@@ -54,10 +65,9 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         levels.append(near)
         left = near.select(F.col("node").alias("src"), F.col("label").alias("a"))
         right = near.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        live = stored(
-            live.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
-            "edges",
-        )
+        left_over = live.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        before, live = live, stored(left_over, "edges")
+        discard(before)
         if live.isEmpty():
             break
     else:
@@ -65,5 +75,6 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     out = levels[-1]
     for lower in reversed(levels[:-1]):
         up = out.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        out = stored(lower.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        before, out = out, stored(lower.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        discard(before)
     return out

@@ -17,40 +17,57 @@ their row; empty tables give no rows, or rows without hits; other columns are ig
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored
-from .kernels import LETTERS, U, binary, mix, rolling
+from .kernels import LETTERS, U, Cut, mix, rolling, same_bytes, word_hashes
 
 PREFIX_WORDS = 3
 SPAN = "doc_id long, n_words long, key long, spans binary, items array<string>"
 
 
-def item_windows(items: list[tuple[object, str | None]], window: int) -> dict[tuple, dict]:
-    """Distinct windows as word hashes, each with its items' ids as strings."""
-    out: dict[tuple, set] = {}
+def item_windows(items: list[tuple[object, str | None]], window: int) -> dict[tuple[bytes, ...], set[str]]:
+    """Distinct windows as words, each with its items' ids as strings."""
+    out: dict[tuple[bytes, ...], set] = {}
     for name, text in items:
-        for _, _, h, _ in LETTERS.texts(pa.array([text], pa.string())):
-            n = min(window, len(h))
-            for s in range(len(h) - n + 1 if n else 0):
-                out.setdefault(tuple(h[s : s + n].tolist()), set()).add("" if name is None else str(name))
+        for _, _, cut in LETTERS.texts(pa.array([text], pa.string())):
+            words = [cut.word(k) for k in range(len(cut.h))]
+            n = min(window, len(words))
+            for s in range(len(words) - n + 1 if n else 0):
+                out.setdefault(tuple(words[s : s + n]), set()).add("" if name is None else str(name))
     return out
 
 
-def window_shingles(windows: list[tuple]) -> list[tuple[int, np.ndarray]]:
+class Vocabulary:
+    """The distinct words of windows: their bytes, one after the other, and their hashes."""
+
+    def __init__(self, windows: Iterable[tuple[bytes, ...]]):
+        self.number = {w: k for k, w in enumerate(dict.fromkeys(w for words in windows for w in words))}
+        self.size = np.array([len(w) for w in self.number], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.z = np.frombuffer(b"".join([*self.number, bytes(8)]), np.uint8)
+        self.h = word_hashes(self.z, self.start, self.size)
+
+    def numbers(self, words: tuple[bytes, ...]) -> np.ndarray:
+        return np.array([self.number[w] for w in words], np.int64)
+
+
+def window_shingles(windows: list[tuple[bytes, ...]], known: Vocabulary | None = None) -> list[tuple[int, np.ndarray]]:
     """Per window, the width and the hashes of its shingles in order."""
-    return [(min(PREFIX_WORDS, len(w)), rolling(np.array(w, U), min(PREFIX_WORDS, len(w)))) for w in windows]
+    known = known or Vocabulary(windows)
+    return [(min(PREFIX_WORDS, len(w)), rolling(known.h[known.numbers(w)], min(PREFIX_WORDS, len(w)))) for w in windows]
 
 
 def _count(keys: dict[int, np.ndarray]):
     def run(batches):
         for b in batches:
             total = {q: np.zeros(len(v), np.int64) for q, v in keys.items()}
-            for i, j, h, at in LETTERS.texts(b.column("text")):
+            for _, _, cut in LETTERS.texts(b.column("text")):
+                h, at = cut.h, cut.at
                 for q, sought in keys.items():
                     g = rolling(h, q)
                     c = np.searchsorted(sought, g)
@@ -69,22 +86,23 @@ def _count(keys: dict[int, np.ndarray]):
 class Index:
     """Prefix shingles of the windows that can occur, and where each puts its window."""
 
-    def __init__(self, windows: dict[tuple, set], seen: dict[int, int]):
+    def __init__(self, windows: dict[tuple[bytes, ...], set[str]], seen: dict[int, int]):
         entries: dict[int, list[tuple[int, int, int]]] = {}
         self.items: list[list[str]] = []
-        words = []
+        own = []
         for w, (q, grams) in zip(windows, window_shingles(list(windows)), strict=True):
             signed = grams.view(np.int64).tolist()
             rarest = min(range(len(signed)), key=lambda o: (seen.get(signed[o], 0), signed[o]))
             if seen.get(signed[rarest], 0):
-                entries.setdefault((q, int(grams[rarest])), []).append((len(words), rarest))
-                words.append(w)
+                entries.setdefault((q, int(grams[rarest])), []).append((len(own), rarest))
+                own.append(w)
                 self.items.append(sorted(windows[w]))
-        self.long = max(map(len, words), default=1)
-        self.length = np.array([len(w) for w in words], np.int64)
-        self.words = np.zeros((len(words), self.long), U)
-        for r, w in enumerate(words):
-            self.words[r, : len(w)] = w
+        self.known = Vocabulary(own)
+        self.long = max(map(len, own), default=1)
+        self.length = np.array([len(w) for w in own], np.int64)
+        self.words = np.zeros((len(own), self.long), np.int64)  # numbers in the vocabulary
+        for r, w in enumerate(own):
+            self.words[r, : len(w)] = self.known.numbers(w)
         self.by_width = {}
         for q in sorted({q for q, _ in entries}):
             keys = np.array(sorted(g for p, g in entries if p == q), U)
@@ -93,9 +111,9 @@ class Index:
                 keys, np.cumsum([0, *map(len, lists)]), np.array([e[0] for x in lists for e in x], np.int64), np.array([e[1] for x in lists for e in x], np.int64),
             )
 
-    def find(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, window, start) of every window in texts of words h with offsets at."""
-        found = []
+    def find(self, text: Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, window, start) of every window in the texts, compared word by word, byte by byte."""
+        found, h, at, known = [], text.h, text.at, self.known
         for q, (keys, cut, window, offset) in self.by_width.items():
             g = rolling(h, q)
             c = np.searchsorted(keys, g)
@@ -112,7 +130,8 @@ class Index:
             for o in range(self.long):
                 inside = o < self.length[w]
                 same = ~inside
-                same[inside] = h[start[inside] + o] == self.words[w[inside], o]
+                a, b = start[inside] + o, self.words[w[inside], o]
+                same[inside] = (h[a] == known.h[b]) & same_bytes(text.z, text.start[a], text.size[a], known.z, known.start[b], known.size[b])
                 doc, w, start = doc[same], w[same], start[same]
             found.append((doc, w, start))
         return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
@@ -136,12 +155,13 @@ def _search(index: Index, only_hits: bool):
             rows = b.num_rows
             n, key = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             spans, items = [none] * rows, [[]] * rows
-            for i, j, h, at in LETTERS.texts(b.column("text")):
+            for i, j, cut in LETTERS.texts(b.column("text")):
+                h, at = cut.h, cut.at
                 n[i:j] = np.diff(at)
                 place = np.arange(len(h), dtype=U)
                 total = np.concatenate(([U(0)], np.cumsum(mix(h ^ mix(place - np.repeat(at[:-1].astype(U), np.diff(at)))))))
                 key[i:j] = (total[at[1:]] - total[at[:-1]]).view(np.int64)
-                doc, w, start = index.find(h, at)
+                doc, w, start = index.find(cut)
                 order = np.argsort(doc, kind="stable")
                 doc, w, start = doc[order], w[order], start[order]
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -179,7 +199,7 @@ def indexes(docs: DataFrame, bench: DataFrame, window: int, item_bytes: int) ->
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         windows = item_windows([tuple(r) for r in own.collect()], window)
         keys: dict[int, set] = {}
-        for q, grams in window_shingles(list(windows)):
+        for q, grams in window_shingles(list(windows), Vocabulary(windows)):
             keys.setdefault(q, set()).update(grams.tolist())
         sought = {q: np.array(sorted(v), U) for q, v in keys.items()}
         counted = texts.mapInArrow(_count(sought), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))  # at most one row for each shingle of the pass
@@ -207,8 +227,8 @@ def _keep(index: Index):
     def run(batches):
         for b in batches:
             clean = np.ones(b.num_rows, bool)
-            for i, _, h, at in LETTERS.texts(b.column("text")):
-                clean[i + index.find(h, at)[0]] = False
+            for i, _, cut in LETTERS.texts(b.column("text")):
+                clean[i + index.find(cut)[0]] = False
             yield b.filter(pa.array(clean))
 
     return run

@@ -7,7 +7,8 @@ only texts that do become candidates. Candidate classes are then verified exactl
 size the order is cut into fragments again, each fragment's partial overlaps are counted for all pairs at once
 (a product of 0/1 matrices), and the counts are summed per pair.
 
-Texts with equal shingle sets are one node throughout, so copies cost nothing beyond one row each.
+Texts with equal shingle sets are one node throughout, so copies cost nothing beyond one row each. Sets are told
+apart by 128 bits; a node is named by 64 of them, and sets that share these get names of their own.
 
 Defined results: null and empty text has an empty set, n_shingles 0, and links with nothing; fewer words than
 the shingle width make one shingle of the whole sequence; a null doc_id takes part and shows only as null;
@@ -24,18 +25,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, small_side, stored, width
+from .common import connected_components, discard, small_side, stored, width
 from .kernels import SPACED, U, binary, mix, rolling
 
 FLUSH = 2_000_000  # signatures that a task holds before it hands them on
 RUN = 32  # members of a run that are paired one by one
 BLOCK = 1024  # texts of one side of a verified block
 SLICE = 4096  # shingles of one verified fragment
+SALT = 16  # tasks that a run of equal signatures is tied in
+MOST_CLASHES = 100_000  # sets with another one's digest; more would mean a broken hash
+PART = 4_000_000  # signatures of a part, on average
 
 
 def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    for i, j, h, at in SPACED.texts(column):
+    for i, j, cut in SPACED.texts(column):
+        h, at = cut.h, cut.at
         whole = rolling(h, k)
         for r in range(j - i):
             a, b = int(at[r]), int(at[r + 1])
@@ -47,10 +52,27 @@ def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.empty(0, U)
 
 
-def digest(u: np.ndarray) -> int:
-    """The class of a set, as a signed long."""
-    with np.errstate(over="ignore"):
-        return int(np.array(mix(mix(u).sum(dtype=U) + U(len(u))), U).view(np.int64)) if len(u) else 0
+def digests(u: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed longs; of the first only `bits` count."""
+    if not len(u):
+        return 0, 0
+    two = [int(mix(np.array([x.sum(dtype=U) + U(len(u))], U))[0]) for x in (mix(u), mix(u ^ U(0xA0761D6478BD642F)))]
+    return _signed(two[0] & ((1 << bits) - 1)), _signed(two[1])
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+class Nodes:
+    """The long that stands for a set: the first half of its digest, but for the few sets that share it with another one."""
+
+    def __init__(self, bits: int = 64, other: dict[tuple[int, int], int] | None = None):
+        self.bits, self.other = bits, other or {}
+
+    def of(self, u: np.ndarray) -> int:
+        two = digests(u, self.bits)
+        return self.other.get(two, two[0])
 
 
 def bounds(share: int, upto: int = 1 << 40) -> list[int]:
@@ -92,19 +114,21 @@ def fragments(u: np.ndarray, starts: list[int], share: int) -> tuple[np.ndarray,
     return np.concatenate(out), need
 
 
-def _stats(k: int):
+def _stats(k: int, bits: int):
     def run(batches):
         for b in batches:
-            n, d = [], []
+            n, d, c = [], [], []
             for u in text_sets(b.column("text"), k):
                 n.append(len(u))
-                d.append(digest(u))
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["doc_id", "n", "digest"])
+                two = digests(u, bits)
+                d.append(two[0])
+                c.append(two[1])
+            yield pa.record_batch([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, d, c))], ["doc_id", "n", "digest", "check"])
 
     return run
 
 
-def _signatures(k: int, share: int, parts: int):
+def _signatures(k: int, share: int, parts: int, nodes: Nodes):
     starts = bounds(share)
 
     def flush(ids, found):
@@ -126,7 +150,7 @@ def _signatures(k: int, share: int, parts: int):
         ids, sigs, held, seen = [], [], 0, set()
         for b in batches:
             for u in text_sets(b.column("text"), k):
-                if not len(u) or (d := digest(u)) in seen:
+                if not len(u) or (d := nodes.of(u)) in seen:
                     continue
                 seen.add(d)
                 ids.append(d)
@@ -195,8 +219,10 @@ def _candidates(found: DataFrame) -> DataFrame:
     short = found.where("not long").groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     short = short.join(left, "src", "left").join(right, "dst", "left").where(F.col("n") + F.least(zero("m1"), zero("m2")) >= F.col("need"))
     able = long.join(count.where("m >= need").select("node"), "node", "left_semi")
-    low = able.groupBy("sig").agg(F.min("node").alias("low"))
-    tied = able.join(low, "sig").where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
+    # a run may hold a large part of all texts: it meets its least one in SALT tasks
+    low = able.groupBy("sig").agg(F.min("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    able = able.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    tied = able.join(low, ["sig", "salt"]).where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).distinct()
     return short.select("src", "dst", F.lit(False).alias("long")).unionByName(tied.withColumn("long", F.lit(True)))
 
 
@@ -263,13 +289,13 @@ def _verified(share: int):
     return run
 
 
-def _grams(k: int):
+def _grams(k: int, nodes: Nodes):
     def run(batches):
         seen = set()  # repeated rows of a candidate: one from each task is enough
         for b in batches:
             sets, keep = list(text_sets(b.column("text"), k)), []
             for u, d in zip(sets, b.column("digest").to_pylist(), strict=True):
-                keep.append(d not in seen and digest(u) == d)
+                keep.append(d not in seen and len(u) > 0 and nodes.of(u) == d)
                 if keep[-1]:
                     seen.add(d)
             keep = pa.array(keep, pa.bool_())
@@ -307,38 +333,78 @@ def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFra
     return whole.unionByName(sparse).withColumn("task", small).unionByName(dense.withColumn("task", F.col("key")))
 
 
-def _classes(docs: DataFrame, k: int, share: int, run: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and (digest, copies, low, label, links) of every set that is not empty."""
+def _nodes(sets: DataFrame, bits: int) -> tuple[Nodes, DataFrame]:
+    """How sets (digest, check) are named, and the names (digest, check, node) of those that share their digest with another.
+
+    Among 10**11 sets some hundreds share 64 bits, so these few are all that is ever gathered.
+    """
+    spark = sets.sparkSession
+    many = sets.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    clash = sorted(tuple(r) for r in sets.join(many, "digest").select("digest", "check").limit(MOST_CLASHES + 1).collect())
+    if len(clash) > MOST_CLASHES:
+        raise ValueError(f"more than {MOST_CLASHES} sets share a digest")
+    other: dict[tuple[int, int], int] = {}
+    turn = 0
+    while len(other) < len(clash):
+        turn += 1
+        new = {x: _signed(int(mix(np.array([(x[1] + turn * 0x9E3779B97F4A7C15) % (1 << 64)], U))[0])) for x in clash if x not in other}
+        table = spark.createDataFrame(list(new.values()), "long").withColumnRenamed("value", "digest")
+        used = {r[0] for r in sets.join(F.broadcast(table), "digest", "left_semi").select("digest").collect()} | set(other.values())  # at most MOST_CLASHES
+        for x, v in new.items():
+            if v not in used:
+                other[x] = v
+                used.add(v)
+    names = spark.createDataFrame([(*x, v) for x, v in other.items()], "digest long, check long, node long")
+    return Nodes(bits, other), names
+
+
+def _named(rows: DataFrame, nodes: Nodes, names: DataFrame) -> DataFrame:
+    """rows with the node of their (digest, check) as digest."""
+    if not nodes.other:
+        return rows.drop("check")
+    rows = rows.join(F.broadcast(names), ["digest", "check"], "left")  # at most MOST_CLASHES rows
+    return rows.withColumn("digest", F.coalesce("node", "digest")).drop("check", "node")
+
+
+def _classes(docs: DataFrame, k: int, share: int, run: int, block: int, bits: int) -> tuple[DataFrame, DataFrame, Nodes]:
+    """(doc_id, n, digest) of every row, (digest, copies, low, label, links) of every set that is not empty, and the naming."""
     spark = docs.sparkSession
-    parts = width(spark) * 2
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = stored(texts.mapInArrow(_stats(k), "doc_id long, n long, digest long"), "sets")
-    sets = stored(stats.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "classes")
-    blobs = texts.mapInArrow(_signatures(k, share, parts), "part int, ids binary, sigs binary, needs binary")
+    stats = stored(texts.mapInArrow(_stats(k, bits), "doc_id long, n long, digest long, check long"), "sets")
+    sets = stored(stats.where("n > 0").groupBy("digest", "check").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
+    nodes, names = _nodes(sets, bits)
+    stats, sets = _named(stats, nodes, names), _named(sets, nodes, names)
+    grams_all = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(width(spark) * 2, int(grams_all * 5 * (100 - share) / (100 + share) * 100 / share) // PART)
+    blobs = texts.mapInArrow(_signatures(k, share, parts, nodes), "part int, ids binary, sigs binary, needs binary")
     found = stored(blobs.groupBy("part").applyInArrow(_pairs(run), "src long, dst long, long boolean, n long, need long"), "found")
     pairs = stored(_candidates(found), "pairs")
+    discard(found)
     cand = connected_components(pairs.select("src", "dst"))
-    dealt = stored(_dealt(pairs, cand, parts, block), "dealt")
+    dealt = stored(_dealt(pairs, cand, width(spark) * 2, block), "dealt")
 
     none = F.lit(-(1 << 63))
     members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", "copies", F.coalesce("low", none).alias("low")), "candidates")
     rows = texts.select(F.coalesce("doc_id", none).alias("low"), "text")
     # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their task
-    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest", "copies").mapInArrow(_grams(k), "digest long, copies long, grams binary")
+    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest", "copies").mapInArrow(_grams(k, nodes), "digest long, copies long, grams binary")
     sent = grams.join(small_side(dealt, dealt.count()), "digest").select("task", "key", "side", "one", "wide", "digest", "copies", "grams")
     near = stored(sent.groupBy("task").applyInArrow(_verified(share), "src long, dst long, links long"), "near")
+    for done in (pairs, dealt, members):
+        discard(done)
     linked = near.groupBy(F.col("dst").alias("digest")).agg(F.sum("links").alias("links"))
     top = connected_components(near.select("src", "dst")).withColumnRenamed("node", "digest")
-    return stats, sets.join(top, "digest", "left").join(linked, "digest", "left").select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    return stats, sets.join(top, "digest", "left").join(linked, "digest", "left").select("digest", "copies", "low", F.coalesce("label", "digest").alias("label"), F.coalesce("links", F.lit(0)).alias("links")), nodes
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, copies: the links 100 * intersection >= share * union.
 
-    n_links counts the other rows that a row links with directly, copies the rows with its very set. run: members of a signature's run that are paired one by
-    one; block: texts of one side of a verified block. Both only deal out the work, they drop nothing.
+    n_links counts the other rows that a row links with directly, copies the rows with its very set. run: members of
+    a signature's run that are paired one by one; block: texts of one side of a verified block; bits: of the first
+    half of a set's digest. All three only deal out the work, they drop nothing.
     """
-    stats, classes = _classes(docs, k, share, run, block)
+    stats, classes, _ = _classes(docs, k, share, run, block, bits)
     lows = classes.groupBy("label").agg(F.min("low").alias("component_id"))
     classes = stored(classes.join(lows, "label").select("digest", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies"), "classes")
     out = stats.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "copies")
@@ -346,20 +412,20 @@ def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int =
     return out.unionByName(alone)
 
 
-def _with_digest(k: int, text: str):
+def _with_digest(k: int, text: str, nodes: Nodes):
     def run(batches):
         for b in batches:
-            d = [digest(u) if len(u) else None for u in text_sets(b.column("row_").field(text), k)]
+            d = [nodes.of(u) if len(u) else None for u in text_sets(b.column("row_").field(text), k)]
             yield pa.record_batch([*b.columns, pa.array(d, pa.int64())], [*b.schema.names, "digest_"])
 
     return run
 
 
-def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """The rows of docs, all columns, one of each component: that of the smallest doc_id (null last), then of the
-    smallest set hash; of repeated rows one. Rows with an empty set all stay.
+    smallest set digest; of repeated rows one. Rows with an empty set all stay.
     """
-    stats, classes = _classes(docs, k, share, run, block)
+    stats, classes, nodes = _classes(docs, k, share, run, block, bits)
     many = classes.groupBy("label").agg(F.sum("copies").alias("n")).where("n > 1").select("label")
     rows = stored(stats.where("n > 0").groupBy("doc_id", "digest").agg(F.count("*").alias("rows_")).join(classes.select("digest", "label").join(many, "label"), "digest"), "members")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("f"))
@@ -367,7 +433,7 @@ def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block
     marked = stored(marked.where("not kept or rows_ > 1").select(F.col("doc_id").alias("id_"), F.col("digest").alias("other_"), "kept"), "marked")
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
     packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"))
-    seen = packed.mapInArrow(_with_digest(k, names["text"]), packed.select("*").schema.add("digest_", "long"))
+    seen = packed.mapInArrow(_with_digest(k, names["text"], nodes), packed.select("*").schema.add("digest_", "long"))
     joined = seen.join(small_side(marked, marked.count()), F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("other_")), "left")
     out = joined.where("kept is null").select("row_").unionByName(joined.where("kept").dropDuplicates(["id", "digest_"]).select("row_"))
     return out.select(*[F.col(f"row_.{names[c]}").alias(c) for c in docs.columns])

@@ -1,22 +1,29 @@
-"""Byte-level word hashing over Arrow text columns, in numpy: no Python object per word."""
+"""Byte-level word hashing over Arrow text columns, in numpy: no Python object per word.
+
+Hashes find words and never prove that two are equal: where that matters, same_bytes compares the words.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-PRIME = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 19  # bytes of text hashed at once
-PIECE = 1 << 22  # a longer single text is hashed in pieces cut at separators
+ODD = U(0x9E3779B97F4A7C15)
+CHUNK = 1 << 19  # bytes of text cut at once
+PIECE = 1 << 22  # a longer single text is cut in pieces at separators
+LONG = 256  # bytes of a word that are read eight by eight; a longer one is digested as a whole
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """64-bit finaliser (xor-shift and multiply)."""
+    """64-bit finaliser (xor-shift and multiply), a bijection."""
     x = x ^ (x >> U(30))
     x = x * U(0xBF58476D1CE4E5B9)
     x = x ^ (x >> U(27))
@@ -24,44 +31,89 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(1)
-def _powers() -> list[np.ndarray]:
-    return [np.ones(1, U), np.ones(1, U)]
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z, and eight zeros behind, so that eight bytes can be read from any place."""
+    z = np.zeros(len(data) + 8, np.uint8)
+    np.take(FOLD, data, out=z[: len(data)], mode="clip")
+    return z
+
+
+def eights(z: np.ndarray, start: np.ndarray, size: np.ndarray, c: int) -> np.ndarray:
+    """Bytes 8c to 8c + 8 of the stretches of z as one number each, zero beyond their end."""
+    every = np.ndarray((len(z) - 7,), "<u8", z, strides=(1,))
+    return every[start + 8 * c] & MASKS[np.minimum(size - 8 * c, 8)]
+
+
+def word_hashes(z: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of z that chains a finaliser over its bytes eight by eight, from its length on."""
+    if not len(start):
+        return np.empty(0, U)
+    h = mix(mix(size.astype(U) * ODD) ^ (eights(z, start, size, 0) * ODD))
+    more, c = np.flatnonzero((size > 8) & (size <= LONG)), 1
+    while len(more):
+        h[more] = mix(h[more] ^ (eights(z, start[more], size[more], c) * ODD))
+        c += 1
+        more = more[size[more] > 8 * c]
+    for i in np.flatnonzero(size > LONG):
+        h[i] = np.frombuffer(hashlib.blake2b(z[start[i] : start[i] + size[i]].tobytes(), digest_size=8).digest(), U)[0]
+    return h
+
+
+def same_bytes(z: np.ndarray, start: np.ndarray, size: np.ndarray, z2: np.ndarray, start2: np.ndarray, size2: np.ndarray) -> np.ndarray:
+    """Whether stretches of z and of z2 have the very same bytes, pair by pair."""
+    out = size == size2
+    more, c = np.flatnonzero(out & (size <= LONG)), 0
+    while len(more):
+        ok = eights(z, start[more], size[more], c) == eights(z2, start2[more], size[more], c)
+        out[more[~ok]] = False
+        c += 1
+        more = more[ok & (size[more] > 8 * c)]
+    for i in np.flatnonzero(out & (size > LONG)):
+        out[i] = np.array_equal(z[start[i] : start[i] + size[i]], z2[start2[i] : start2[i] + size[i]])
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME**i and its inverse modulo 2**64 for i < n, kept by the worker."""
-    kept = _powers()
-    if len(kept[0]) < n:
-        n = max(n, CHUNK + 1)
-        for k, base in enumerate((PRIME, pow(PRIME, -1, 1 << 64))):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            kept[k] = np.multiply.accumulate(steps)
-    return kept[0], kept[1]
+class Cut:
+    """Words of some texts: their hashes, offsets of each text's words, and where in z (folded) each stands."""
+
+    __slots__ = ("at", "h", "size", "start", "z")
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, z: np.ndarray, start: np.ndarray, size: np.ndarray):
+        self.h, self.at, self.z, self.start, self.size = h, at, z, start, size
+
+    def heads(self, k: int) -> np.ndarray:
+        """Hashes of the words' first k bytes, k at most 8; shorter words whole."""
+        size = np.minimum(self.size, k)
+        return mix(mix(size.astype(U) * ODD) ^ (eights(self.z, self.start, size, 0) * ODD))
+
+    def word(self, i: int) -> bytes:
+        return self.z[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+
+def joined(cuts: list[Cut]) -> Cut:
+    """Pieces of one text as one."""
+    if len(cuts) == 1:
+        return Cut(cuts[0].h, np.array([0, len(cuts[0].h)]), cuts[0].z, cuts[0].start, cuts[0].size)
+    base = np.cumsum([0, *(len(c.z) for c in cuts)])
+    h, z, size = (np.concatenate([getattr(c, k) for c in cuts]) for k in ("h", "z", "size"))
+    return Cut(h, np.array([0, len(h)]), z, np.concatenate([c.start + b for c, b in zip(cuts, base, strict=False)]), size)
 
 
 class Words:
-    """Which bytes make words, and a random 64-bit value of each; A-Z count as a-z."""
+    """Which bytes make words; A-Z count as a-z."""
 
     def __init__(self, separators: list[tuple[int, int]]):
         self.word = np.ones(256, bool)
         for low, high in separators:
             self.word[low : high + 1] = False
-        table = mix(np.arange(1, 257, dtype=U) * U(PRIME))
-        table[65:91] = table[97:123]
-        self.table = table
 
-    def of(self, data: np.ndarray, offsets: np.ndarray, heads: tuple[int, ...] = (), places: bool = False) -> tuple[np.ndarray, ...]:
-        """Word hashes of the texts data[offsets[i]:offsets[i+1]], and offsets of each text's words.
-
-        heads: then also, for each number of bytes, the hash of each word's first bytes (shorter words whole).
-        places: then also where each word begins and ends in data.
-        """
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> Cut:
+        """The words of the texts data[offsets[i]:offsets[i+1]]."""
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         x = data[base : base + n]
         if n == 0:
-            return (np.empty(0, U), np.zeros(len(offsets), np.int64), *[np.empty(0, U) for _ in heads], *[np.empty(0, np.int64)] * 2 * places)
+            none = np.empty(0, np.int64)
+            return Cut(np.empty(0, U), np.zeros(len(offsets), np.int64), folded(x), none, none)
         isw = self.word[x]
         first = isw.copy()
         first[1:] &= ~isw[:-1]
@@ -71,26 +123,21 @@ class Words:
         cuts = cuts[(cuts > 0) & (cuts < n)]
         first[cuts] = isw[cuts]
         last[cuts - 1] = isw[cuts - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-        p, inv = powers(n + 1)
-        total = np.cumsum(self.table[x] * p[:n])
-        before = np.where(starts > 0, total[starts - 1], U(0))
-        hashes = [mix((total[e] - before) * inv[starts] + (e - starts).astype(U)) for e in (ends, *(np.minimum(ends, starts + k - 1) for k in heads))]
-        return (hashes[0], np.searchsorted(starts, offsets - base), *hashes[1:], *((starts + base, ends + base + 1) if places else ()))
-
-    def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, end row, word hashes, word offsets) for runs of rows of about CHUNK bytes; null is empty."""
+        start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+        size -= start
+        z = folded(x)
+        return Cut(word_hashes(z, start, size), np.searchsorted(start, offsets - base), z, start, size)
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[int, int, Cut]]:
+        """(first row, end row, their words) for runs of rows of about CHUNK bytes; null is empty."""
         data, offsets = buffers(column)
         i, rows = 0, len(offsets) - 1
         while i < rows:
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
             if offsets[j] - offsets[i] > PIECE:
-                parts = [self.of(data, np.array([a, b]))[0] for a, b in self.pieces(data, int(offsets[i]), int(offsets[j]))]
-                h = np.concatenate(parts)
-                yield i, j, h, np.array([0, len(h)])
+                yield i, j, joined([self.of(data, np.array([a, b])) for a, b in self.pieces(data, int(offsets[i]), int(offsets[j]))])
             else:
-                h, at = self.of(data, offsets[i : j + 1])
-                yield i, j, h, at
+                yield i, j, self.of(data, offsets[i : j + 1])
             i = j
 
     def pieces(self, data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:

@@ -12,7 +12,6 @@ and no rows; other columns are not written.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from functools import lru_cache
@@ -22,9 +21,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window as W
 
 from .common import fresh_path, width
-from .kernels import CHUNK, PIECE, SPACED, U, buffers
+from .kernels import CHUNK, PIECE, SPACED, U, buffers, same_bytes
 
 KEPT_WORDS = 500_000  # about 20 MB a worker
 SLICE = 2 << 20  # bytes of text encoded at once
@@ -35,21 +35,24 @@ class Encoder:
     """Texts to ids, each distinct word going through the tokenizer once while the worker's table holds it.
 
     The tokenizer drops case and never joins across white space, so a text's ids are those of its words in
-    order. The table has the words' 64-bit hashes, sorted, and their ids in one array; row 0 is the end id. Words
-    with an added token, which is matched with its case, are told apart by case too.
+    order. The table finds a word by its hash and then compares its bytes; another word of the same hash gets a row
+    of its own. Row 0 is the end id. Words with an added token, which is matched with its case, are found by their
+    bytes as they are.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, bits: int = 64):
         from tokenizers import Tokenizer
 
-        self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        self.tok, self.end_id, self.mask = Tokenizer.from_file(path), end_id, U((1 << bits) - 1)
         self.exact = [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values() if not t.normalized]
         self.reset()
 
     def reset(self) -> None:
         self.hashes, self.row = np.empty(0, U), np.empty(0, np.int64)
-        self.first, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.first, self.many = np.zeros(1, np.int64), np.ones(1, np.int64)  # of each row its ids in flat
         self.flat = np.array([self.end_id], np.int32)
+        self.start, self.size, self.z = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(8, np.uint8)  # and its bytes in z
+        self.cased: dict[bytes, int] = {}
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has; told apart by where they came from."""
@@ -63,57 +66,70 @@ class Encoder:
             sizes.append(np.bincount(np.searchsorted(starts, token, "right") - 1, minlength=len(some)))
         return np.concatenate(flat), np.concatenate(sizes)
 
-    def add(self, hashes: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        """New words, their hashes in order."""
-        new = len(self.size) + np.arange(len(size))
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.row = np.insert(self.hashes, at, hashes), np.insert(self.row, at, new)
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-
-    def cased(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The words' hashes, of those that hold an added token in any case with their bytes as they are."""
-        if not len(h):
-            return h
-        low, base = data[start[0] : end[-1]].tobytes().lower(), int(start[0])
-        found = {int(np.searchsorted(start, m.start() + base, "right")) - 1 for t in self.exact for m in re.finditer(re.escape(t), low)}
-        for i in found:
-            own = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
-            h[i] = np.frombuffer(own, U)[0]
-        return h
+    def add(self, words: list[bytes]) -> np.ndarray:
+        """The rows of new words."""
+        flat, many = self.words([w.decode() for w in words])
+        row = len(self.many) + np.arange(len(words))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(many) - many])
+        self.many, self.flat = np.concatenate([self.many, many]), np.concatenate([self.flat, flat])
+        size = np.array([len(w) for w in words], np.int64)
+        self.start = np.concatenate([self.start, len(self.z) - 8 + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.z = np.concatenate([self.z[:-8], np.frombuffer(b"".join([*words, bytes(8)]), np.uint8)])
+        return row
+
+    def rows(self, h: np.ndarray, z: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The row of each word."""
+        word = lambda i: z[start[i] : start[i] + size[i]].tobytes()
+        distinct, where, back = np.unique(h & self.mask, return_index=True, return_inverse=True)
+        if len(self.many) + len(distinct) > KEPT_WORDS:
+            self.reset()
+        at = np.searchsorted(self.hashes, distinct)
+        old = at < len(self.hashes)
+        old[old] = self.hashes[at[old]] == distinct[old]
+        if not old.all():
+            new = self.add([word(i) for i in where[~old].tolist()])
+            self.hashes, self.row = np.insert(self.hashes, at[~old], distinct[~old]), np.insert(self.row, at[~old], new)
+        row = self.row[np.searchsorted(self.hashes, distinct)][back]
+        others: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(~same_bytes(z, start, size, self.z, self.start[row], self.size[row])).tolist():
+            others.setdefault(word(i), []).append(i)
+        if others:
+            for r, places in zip(self.add(list(others)).tolist(), others.values(), strict=True):
+                row[places] = r
+        return row
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts data[offsets[i]:offsets[i+1]], each text with its end id, and each text's count."""
-        parts, i = [], 0
+        cuts, raw, many, i = [], [], [], 0
         while i < len(offsets) - 1:  # words are cut a few texts at a time, to stay in the processor's cache
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
             if offsets[j] - offsets[i] > PIECE:
-                got = [SPACED.of(data, np.array([a, b]), places=True) for a, b in SPACED.pieces(data, int(offsets[i]), int(offsets[j]))]
-                h, start, end = (np.concatenate([g[k] for g in got]) for k in (0, 2, 3))
-                parts.append((h, np.array([0, len(h)]), start, end))
+                parts = [(a, SPACED.of(data, np.array([a, b]))) for a, b in SPACED.pieces(data, int(offsets[i]), int(offsets[j]))]
+                many.append([sum(len(c.h) for _, c in parts)])
             else:
-                parts.append(SPACED.of(data, offsets[i : j + 1], places=True))
+                parts = [(int(offsets[i]), SPACED.of(data, offsets[i : j + 1]))]
+                many.append(np.diff(parts[0][1].at))
+            cuts += [c for _, c in parts]
+            raw += [c.start + a for a, c in parts]
             i = j
-        h, start, end = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
-        h = self.cased(h, data, start, end)
-        many = np.concatenate([np.diff(p[1]) for p in parts])
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > KEPT_WORDS:
-            self.reset()
-        at = np.searchsorted(self.hashes, distinct)
-        old = at < len(self.hashes)
-        old[old] = self.hashes[at[old]] == distinct[old]
-        w = where[~old]
-        words = [data[s:e].tobytes().decode() for s, e in zip(start[w].tolist(), end[w].tolist(), strict=True)]
-        if words:
-            self.add(distinct[~old], *self.words(words))
-        row = self.row[np.searchsorted(self.hashes, distinct)][back]
+        base = np.cumsum([0, *(len(c.z) for c in cuts)])
+        h, z, size, raw, many = (np.concatenate(x) for x in ([c.h for c in cuts], [c.z for c in cuts], [c.size for c in cuts], raw, many))
+        start = np.concatenate([c.start + b for c, b in zip(cuts, base, strict=False)])
+        row = self.rows(h, z, start, size)
+        if self.exact and len(h):
+            low = z.tobytes()
+            for i in {int(np.searchsorted(start, m.start(), "right")) - 1 for t in self.exact for m in re.finditer(re.escape(t), low)}:
+                word = data[raw[i] : raw[i] + size[i]].tobytes()
+                if word not in self.cased:
+                    self.cased[word] = int(self.add([word])[0])
+                row[i] = self.cased[word]
         row = np.insert(row, np.cumsum(many), 0)
-        size = self.size[row]
-        stop = np.cumsum(size)
-        ids = self.flat[np.arange(stop[-1]) + np.repeat(self.first[row] - stop + size, size)]
+        n = self.many[row]
+        stop = np.cumsum(n)
+        ids = self.flat[np.arange(stop[-1]) + np.repeat(self.first[row] - stop + n, n)]
         ends = stop[np.cumsum(many + 1) - 1]
-        if max(map(len, words), default=0) > 1 << 16 or len(self.flat) > 16 * KEPT_WORDS:
+        if size.max(initial=0) > 1 << 16 or len(self.flat) > 16 * KEPT_WORDS or len(self.z) > 32 * KEPT_WORDS:
             self.reset()
         return ids, np.diff(ends, prepend=0)
 
@@ -144,11 +160,17 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: int | None = None) -> None:
-    """Encodes every whole text and writes the shards in ascending doc_id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shards: int | None = None, shard_bytes: int = 128 << 20) -> None:
+    """Encodes every whole text and writes the shards in ascending doc_id order.
+
+    Without a number of shards there are as many as the session's shuffles have, or more for shards of about shard_bytes of text.
+    """
     order = ["doc_id", "tie"]
+    if not shards:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(width(docs.sparkSession), -(-size // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.repartitionByRange(shards or width(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     writer = rows.mapInArrow(_encode(tokenizer, end_id), ROW).write
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
     writer.options(**options).orc(path)
@@ -157,12 +179,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids: the file's rows with their offsets in the whole."""
     rows = spark.read.schema(ROW).orc(path)
-    ends = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    bases = ends.groupBy().agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("all"))  # a row for each shard
-    bases = bases.select(F.explode("all").alias("one"), "all").select(
-        F.col("one.shard").alias("shard"),
-        F.expr("aggregate(filter(all, x -> x.shard < one.shard), 0L, (s, x) -> s + x.n)").alias("base"),
-    )
+    ends = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
+    before = F.sum("n").over(W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    bases = ends.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 

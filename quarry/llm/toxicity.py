@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .kernels import LETTERS, U, buffers
+from .kernels import LETTERS, U, buffers, mix
 
 BITS = 18
 HEADS = (3, 4, 5)  # bytes of a word's beginning
@@ -33,8 +33,8 @@ def word_bins(column: pa.Array):
     for r in range(len(offsets) - 1):
         parts = []
         for a, b in LETTERS.pieces(data, int(offsets[r]), int(offsets[r + 1])):
-            h, _, *heads = LETTERS.of(data, np.array([a, b]), HEADS)
-            parts += [h, *(x + U(k) for k, x in zip(HEADS, heads, strict=True))]
+            cut = LETTERS.of(data, np.array([a, b]))
+            parts += [cut.h, *(mix(cut.heads(k) + U(k)) for k in HEADS)]
         every = (np.concatenate(parts) >> U(64 - BITS)).astype(np.int32) if parts else np.empty(0, np.int32)
         yield np.unique(every, return_counts=True)
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from quarry.llm.jaccard import jaccard_components
+from quarry.llm.jaccard import jaccard_components, keep_one
 
 SCHEMA = "doc_id long, text string, lang string, n long, label long"
 
@@ -108,3 +108,16 @@ def test_number_of_links(spark, how):
         rows += [(len(rows), " ".join(t), "en", 1, 2)] * rng.choice([1, 1, 1, 2])
     got = jaccard_components(spark.createDataFrame(rows, SCHEMA), **how).select("doc_id", "n_links").collect()
     assert Counter(tuple(r) for r in got) == plain_links(rows)
+
+
+def test_sets_that_share_their_digest(spark):
+    """With five bits of the first digest most sets have another one's; they keep nodes of their own."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([2, 5, 20]))), "en", 1, 2) for i in range(40)]
+    rows += [(100 + i, r[1] + (" more" if i % 3 else ""), *r[2:]) for i, r in enumerate(rows)]
+    same(spark, rows, bits=5)
+    kept = keep_one(spark.createDataFrame(rows, SCHEMA), bits=5).collect()
+    low = {}
+    for (d, _, c), n in brute(rows).items():
+        low[c] = min(low.get(c, d), d)
+    assert sorted(r.doc_id for r in kept) == sorted(low.values())
