@@ -3,14 +3,14 @@ from html import escape
 
 import pytest
 
-from quarry.llm.htmltext import main_text, parse
+from quarry.llm.htmltext import P, deduced, extracted, main_text, parse
 from quarry.llm.queries import op6_main_text
 
 SCHEMA = "page_id long, url string, html string, text string, host string, texts string"
 
 
 def text_of(page):
-    blocks = [b for b in parse(page)[0] if not b.out]
+    blocks = [b for b in parse(page) if not b.out]
     level = max((b.main for b in blocks), default=0)
     return "\n\n".join(b.text() for b in blocks if b.main == level)
 
@@ -102,3 +102,98 @@ def test_table_against_plain_reading(spark):
 def test_very_long_page():
     page = "<article>" + "<p>word " * 50_000 + "<div>" * 3000 + "x"
     assert text_of(page).count("word") == 50_000
+
+
+def stripped(page):
+    """The page without any mark: no element that says what it is for, no class, id or role."""
+    page = re.sub(r"<(/?)(?:nav|article|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(div|p|ul|li|span)\s[^>]*>", r"<\1>", page)
+
+
+def test_table_without_marks(spark):
+    """The template alone finds the same text on nearly all pages."""
+    sf = "/root/testdata/sf0.01"
+    want = {(r.page_id, r.url): r.text for r in op6_main_text(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert not any(re.search("article|class=|<nav|<footer", stripped(r.html)) for r in pages)
+    rows = [(r.page_id, r.url, stripped(r.html), "", "", "") for r in pages]
+    got = {(r.page_id, r.url): r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    same = sum(got[k] == want[k] for k in want) / len(want)
+    print("pages with the same text without marks", same)
+    assert same >= 0.95
+
+
+def test_repeated_pages_keep_their_text(spark):
+    page = "<html><body><div>Site</div><div><h1>T</h1><p>Own text of it</p></div></body></html>"
+    for n in (1, 2, 3, 4, 7):
+        rows = [(i % 2, f"http://h.example.com/{i % 2}", page, "", "", "") for i in range(n)]
+        assert [r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()] == ["T\n\nOwn text of it"] * n
+    other = [(9, f"http://h.example.com/o{i}", page.replace("Own", f"Other {i}").replace("T<", f"T{i}<"), "", "", "") for i in range(5)]
+    got = main_text(spark.createDataFrame(rows + other, SCHEMA)).collect()
+    assert sorted(r.text for r in got) == sorted(["T\n\nOwn text of it"] * 7 + [f"T{i}\n\nOther {i} text of it" for i in range(5)])
+
+
+def plain_template(pages, share=0.5, least=3, size=3):
+    """Template texts from occurrence vectors held whole: (path, text) of the root's class and of the classes nested into it."""
+    from quarry.llm.htmltext import tree_of
+
+    pages = list(dict.fromkeys(pages))
+    vectors = {}
+    for i, page in enumerate(pages):
+        blocks = [b for b in parse(page) if not b.out]
+        for token in [("path", p) for p in tree_of(blocks).weight] + [("text", b.path, b.text()) for b in blocks]:
+            v = vectors.setdefault(token, [0] * len(pages))
+            v[i] += 1
+    if len(pages) < least:
+        return set()
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(token)
+    every = (1,) * len(pages)
+    frame, inside = {t[1] for t in classes[every] if t[0] == "path"}, {every}
+    grown = True
+    while grown:
+        grown = False
+        for v, ts in classes.items():
+            if v in inside or len(ts) < size or sum(map(bool, v)) < max(least, share * len(pages)):
+                continue
+            shortest = min((t[1] for t in ts), key=len)
+            while shortest not in frame:
+                shortest = shortest.rpartition("/")[0]
+            if all(t[1] == shortest or t[1].startswith(f"{shortest}/") for t in ts):
+                inside.add(v)
+                frame |= {t[1] for t in ts if t[0] == "path"}
+                grown = True
+    return {t[1:] for v in inside for t in classes[v] if t[0] == "text"}
+
+
+def test_templates_against_whole_vectors(spark):
+    """Classes by hashes summed over pages are those of the vectors themselves, with nested ones and repeated pages."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarry.llm.htmltext import _token, templates
+
+    rng, rows = random.Random(4), []
+    for h in range(8):
+        for i in range(rng.choice([2, 3, 6, 12])):
+            inner = "".join(f"<li>offer {k}</li>" for k in range(4))
+            box = f"<div><ul>{inner}</ul><div><p>deep a</p><p>deep b</p><p>deep c</p></div></div>" if rng.random() < 0.7 else ""
+            page = f"<div><p>Site {h}</p></div><div><h1>Title {i}</h1><p>{rng.choice(['Same', f'Own {i}'])}</p></div>{box}<div>Foot</div>"
+            rows += [(f"h{h}", page)] * rng.choice([1, 1, 1, 2, 3])
+    df = spark.createDataFrame(rows, "host string, html string").withColumn("page", F.xxhash64("html"))
+    df = df.join(df.groupBy("host", "page").agg(F.count("*").alias("rows")), ["host", "page"])
+    got = {r.host: set(r.texts) for r in templates(df).collect()}
+    for h in {r[0] for r in rows}:
+        assert got.get(h, set()) == {_token("text", *t) for t in plain_template([p for k, p in rows if k == h])}, h
+
+
+def test_fractions_of_rows_add_up():
+    assert all(r * pow(r, -1, P) % P == 1 for r in (1, 2, 3, 1000, 10**9))
+
+
+def test_tree_alone():
+    page = "<div><a href=x>one</a> <a href=y>two two two two two</a></div><div><h1>T</h1><div><p>body of it</p></div></div><div>short</div>"
+    assert extracted(page, set(), None) == "T\n\nbody of it"
+    assert deduced([{"token": 1, "kind": "path", "path": "", "vector": 1, "weight": 0, "headed": 0, "main": 0}]) == ([], "")
