@@ -100,10 +100,10 @@ def joined(cuts: list[Cut]) -> Cut:
 
 
 class Words:
-    """Which bytes make words; A-Z count as a-z."""
+    """Which bytes make words; A-Z count as a-z. kinds: a number for each byte; apart: which kinds are cut between, too."""
 
-    def __init__(self, separators: list[tuple[int, int]]):
-        self.word = np.ones(256, bool)
+    def __init__(self, separators: list[tuple[int, int]], kinds: np.ndarray | None = None, apart: np.ndarray | None = None):
+        self.word, self.kinds, self.apart = np.ones(256, bool), kinds, apart
         for low, high in separators:
             self.word[low : high + 1] = False
 
@@ -123,6 +123,11 @@ class Words:
         cuts = cuts[(cuts > 0) & (cuts < n)]
         first[cuts] = isw[cuts]
         last[cuts - 1] = isw[cuts - 1]
+        if self.kinds is not None:
+            kind = self.kinds[x]
+            apart = self.apart[(kind[:-1] << 3) | kind[1:]]
+            first[1:] |= apart
+            last[:-1] |= apart
         start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
         size -= start
         z = folded(x)
@@ -169,6 +174,22 @@ SPACED = Words([(0x20, 0x20), (0x09, 0x0D)])
 LETTERS = Words([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 
+def _runs() -> Words:
+    """Words cut into runs of ASCII letters, single digits and runs of other ASCII characters; an apostrophe stays with what
+    follows, and nothing is cut next to a byte beyond ASCII.
+    """
+    kinds = np.zeros(256, np.uint8)  # 0: never cut at
+    for c in range(0x21, 0x7F):
+        kinds[c] = 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 4 if c == 0x27 else 3
+    apart = np.zeros(64, bool)
+    for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2)):
+        apart[a << 3 | b] = True
+    return Words([(0x20, 0x20), (0x09, 0x0D)], kinds, apart)
+
+
+RUNS = _runs()
+
+
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every k consecutive hashes (len - k + 1 of them)."""
     n = len(words) - k + 1

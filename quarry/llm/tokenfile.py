@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from .common import fresh_path, width
-from .kernels import CHUNK, PIECE, SPACED, U, buffers, same_bytes
+from .kernels import CHUNK, PIECE, RUNS, SPACED, U, buffers, folded, same_bytes
 
+FIRST = itemgetter(0)
 KEPT_WORDS = 500_000  # about 20 MB a worker
 SLICE = 2 << 20  # bytes of text encoded at once
 ROW = "doc_id long, shard int, pos long, local_start long, n_tokens long, ids array<int>"
@@ -34,10 +36,10 @@ ROW = "doc_id long, shard int, pos long, local_start long, n_tokens long, ids ar
 class Encoder:
     """Texts to ids, each distinct word going through the tokenizer once while the worker's table holds it.
 
-    The tokenizer drops case and never joins across white space, so a text's ids are those of its words in
-    order. The table finds a word by its hash and then compares its bytes; another word of the same hash gets a row
-    of its own. Row 0 is the end id. Words with an added token, which is matched with its case, are found by their
-    bytes as they are.
+    The tokenizer drops case and never joins letters, digits and other characters, nor what white space parts, so a
+    text's ids are those of its runs of each in order. The table finds a run by its hash and then compares its bytes;
+    another run of the same hash gets a row of its own. Row 0 is the end id. Where an added token occurs, which is
+    matched with its case, whole words are looked up, those with the token by their bytes as they are.
     """
 
     def __init__(self, path: str, end_id: int, bits: int = 64):
@@ -54,33 +56,39 @@ class Encoder:
         self.start, self.size, self.z = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(8, np.uint8)  # and its bytes in z
         self.cased: dict[bytes, int] = {}
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, one after the other, and how many each has; told apart by where they came from."""
-        flat, sizes = [], []
-        for at in range(0, len(words), 500):
-            some = words[at : at + 500]
-            got = self.tok.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
-            token = np.fromiter((s for s, _ in got.offsets), np.int64, len(got.ids))
+    def words(self, text: bytes, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these sizes, which text has with a space behind each, and how many each has; told apart by where they came from."""
+        flat, many = [], []
+        byte = np.frombuffer(text, np.uint8)
+        chars = np.add.reduceat((byte & 0xC0) != 0x80, np.cumsum(size + 1) - size - 1)  # with the space
+        ends = np.cumsum(size + 1)
+        for at in range(0, len(size), 500):
+            some = text[ends[at - 1] if at else 0 : ends[min(at + 500, len(size)) - 1]]
+            got = self.tok.encode(some.decode(), add_special_tokens=False)
+            stop = np.cumsum(chars[at : at + 500])
+            token = np.fromiter(map(FIRST, got.offsets), np.int64, len(got.ids))
             flat.append(np.array(got.ids, np.int32))
-            sizes.append(np.bincount(np.searchsorted(starts, token, "right") - 1, minlength=len(some)))
-        return np.concatenate(flat), np.concatenate(sizes)
-
-    def add(self, words: list[bytes]) -> np.ndarray:
-        """The rows of new words."""
-        flat, many = self.words([w.decode() for w in words])
-        row = len(self.many) + np.arange(len(words))
+            many.append(np.bincount(np.searchsorted(stop, token, "right"), minlength=len(stop)))
+        return np.concatenate(flat), np.concatenate(many)
+
+    def add(self, z: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The rows of new words, stretches of z."""
+        stop = np.cumsum(size + 1)
+        place = np.arange(stop[-1]) - np.repeat(stop - size - 1 - start, size + 1)
+        place[stop - 1] = 0
+        text = z[place]
+        text[stop - 1] = 32
+        flat, many = self.words(text.tobytes(), size)
+        row = len(self.many) + np.arange(len(size))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(many) - many])
         self.many, self.flat = np.concatenate([self.many, many]), np.concatenate([self.flat, flat])
-        size = np.array([len(w) for w in words], np.int64)
-        self.start = np.concatenate([self.start, len(self.z) - 8 + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, len(self.z) - 8 + stop - size - 1])
         self.size = np.concatenate([self.size, size])
-        self.z = np.concatenate([self.z[:-8], np.frombuffer(b"".join([*words, bytes(8)]), np.uint8)])
+        self.z = np.concatenate([self.z[:-8], text, np.zeros(8, np.uint8)])
         return row
 
     def rows(self, h: np.ndarray, z: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The row of each word."""
-        word = lambda i: z[start[i] : start[i] + size[i]].tobytes()
         distinct, where, back = np.unique(h & self.mask, return_index=True, return_inverse=True)
         if len(self.many) + len(distinct) > KEPT_WORDS:
             self.reset()
@@ -88,27 +96,30 @@ class Encoder:
         old = at < len(self.hashes)
         old[old] = self.hashes[at[old]] == distinct[old]
         if not old.all():
-            new = self.add([word(i) for i in where[~old].tolist()])
+            w = where[~old]
+            new = self.add(z, start[w], size[w])
             self.hashes, self.row = np.insert(self.hashes, at[~old], distinct[~old]), np.insert(self.row, at[~old], new)
         row = self.row[np.searchsorted(self.hashes, distinct)][back]
         others: dict[bytes, list[int]] = {}
         for i in np.flatnonzero(~same_bytes(z, start, size, self.z, self.start[row], self.size[row])).tolist():
-            others.setdefault(word(i), []).append(i)
-        if others:
-            for r, places in zip(self.add(list(others)).tolist(), others.values(), strict=True):
-                row[places] = r
+            others.setdefault(z[start[i] : start[i] + size[i]].tobytes(), []).append(i)
+        for places in others.values():
+            row[places] = self.add(z, start[places[:1]], size[places[:1]])
         return row
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts data[offsets[i]:offsets[i+1]], each text with its end id, and each text's count."""
+        low = folded(data[offsets[0] : offsets[-1]]).tobytes() if self.exact else b""
+        special = any(t in low for t in self.exact)
+        kind = SPACED if special else RUNS
         cuts, raw, many, i = [], [], [], 0
         while i < len(offsets) - 1:  # words are cut a few texts at a time, to stay in the processor's cache
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
             if offsets[j] - offsets[i] > PIECE:
-                parts = [(a, SPACED.of(data, np.array([a, b]))) for a, b in SPACED.pieces(data, int(offsets[i]), int(offsets[j]))]
+                parts = [(a, kind.of(data, np.array([a, b]))) for a, b in kind.pieces(data, int(offsets[i]), int(offsets[j]))]
                 many.append([sum(len(c.h) for _, c in parts)])
             else:
-                parts = [(int(offsets[i]), SPACED.of(data, offsets[i : j + 1]))]
+                parts = [(int(offsets[i]), kind.of(data, offsets[i : j + 1]))]
                 many.append(np.diff(parts[0][1].at))
             cuts += [c for _, c in parts]
             raw += [c.start + a for a, c in parts]
@@ -117,13 +128,13 @@ class Encoder:
         h, z, size, raw, many = (np.concatenate(x) for x in ([c.h for c in cuts], [c.z for c in cuts], [c.size for c in cuts], raw, many))
         start = np.concatenate([c.start + b for c, b in zip(cuts, base, strict=False)])
         row = self.rows(h, z, start, size)
-        if self.exact and len(h):
+        if special:
             low = z.tobytes()
             for i in {int(np.searchsorted(start, m.start(), "right")) - 1 for t in self.exact for m in re.finditer(re.escape(t), low)}:
-                word = data[raw[i] : raw[i] + size[i]].tobytes()
-                if word not in self.cased:
-                    self.cased[word] = int(self.add([word])[0])
-                row[i] = self.cased[word]
+                word = data[raw[i] : raw[i] + size[i]]
+                if word.tobytes() not in self.cased:
+                    self.cased[word.tobytes()] = int(self.add(word, np.zeros(1, np.int64), size[[i]])[0])
+                row[i] = self.cased[word.tobytes()]
         row = np.insert(row, np.cumsum(many), 0)
         n = self.many[row]
         stop = np.cumsum(n)

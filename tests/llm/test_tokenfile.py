@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pyarrow.orc as orc
 import pytest
+from functools import lru_cache
+from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from quarry.llm.queries import tokenizer_path
@@ -57,3 +59,43 @@ def test_added_tokens_keep_their_case():
             raw = [t.encode() for t in group]
             ids, n = e.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
             assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in group]
+
+
+PARTS = ["the", "Don't", "'s", "'", "''ll", "it's-5", "12", "3rd", "a.b,c!", "é", "été,", "…", "éx", "ß", "中文字", "x y", "%%%", "&amp;", "İ", " ", "\x1c", "#1", "O'Neil's", "'tis", "re've", "<|", "|>", "_a_", "\x00"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(PARTS), st.text(max_size=4)), max_size=12).map("".join), min_size=1, max_size=4))
+def test_runs_like_whole_texts(texts):
+    """What is looked up run by run is what the tokenizer makes of the text as a whole."""
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    tok, e = encoders()
+    raw = [t.encode() for t in texts]
+    ids, n = e.texts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+@lru_cache(1)
+def encoders():
+    return Tokenizer.from_file(tokenizer_path()), Encoder(tokenizer_path(), 1)
+
+
+def test_index_and_bloom_filter(spark, tmp_path):
+    """The files hold a row index of the stride asked for, and Bloom filters on doc_id that tell what is missing."""
+    df = spark.range(5000).selectExpr("id * 2 as doc_id", "'' as lang", "'' as source", "concat('word ', id) as text").select("doc_id", "text")
+    write_tokens(df, f"file://{tmp_path}/t", tokenizer_path(), shards=1)
+    (file,) = tmp_path.glob("t/*.orc")
+    jvm = spark._jvm
+    options = jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{file}"), options)
+    assert reader.getRowIndexStride() == 1000 and reader.getNumberOfRows() == 5000
+    rows = reader.rows()
+    columns = spark.sparkContext._gateway.new_array(jvm.boolean, 8)  # the row, its six fields, and the elements of ids
+    columns[1] = True
+    index = rows.readRowIndex(0, None, columns)
+    assert len(index.getRowGroupIndex()[1].getEntryList()) == 5
+    blooms = [b for b in (index.getBloomFilterIndex()[k] for k in range(8)) if b is not None]
+    assert blooms and blooms[0].getBloomFilterCount() == 5
+    rows.close()
+    plan = read_tokens(spark, f"file://{tmp_path}/t").where("doc_id = 4444")
+    assert [list(r.ids)[-1] for r in plan.collect()] == [1] and read_tokens(spark, f"file://{tmp_path}/t").where("doc_id = 4445").count() == 0
