@@ -2,8 +2,10 @@
 
 Each language is a smoothed distribution over hashed byte trigrams of its letters, counted over all training
 documents. A document's trigrams are taken as drawn from a mixture of languages; expectation-maximisation
-estimates the proportions. The set of languages is selected by penalised likelihood: languages are taken in
-order of weight, and one more is accepted only while it raises the log-likelihood by more than its penalty.
+estimates the proportions. The set of languages is selected by penalised likelihood: from the likeliest language on,
+the one that raises the log-likelihood most joins while it raises it by more than its penalty, and one that no
+longer earns its penalty leaves. A language whose slope at the present mixture bounds its gain below the penalty is
+not tried, which loses nothing, as the likelihood is concave in the proportions.
 
 Defined results: null text, or text without a letter, is `und` with score 0; so is every text if nothing could
 be learned. A null doc_id counts as training (its remainder is not the held-out one); rows with null lang are
@@ -57,15 +59,15 @@ def _learn(batches):
             if lang not in total:
                 total[lang] = np.zeros(BINS, np.int64)
             total[lang] += trigram_counts(data[off[i] : off[i + 1]])
-    if total:
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "counts"])
+    for lang, n in total.items():
+        bins = np.flatnonzero(n)
+        yield pa.record_batch([pa.array([lang] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(n[bins])], ["lang", "bin", "n"])
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the probability of each trigram in each of them (one row a trigram)."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    part = rows.mapInArrow(_learn, "lang string, counts array<long>").select("lang", F.posexplode("counts").alias("bin", "n"))
-    summed = part.groupBy("lang", "bin").agg(F.sum("n").alias("n")).where("n > 0")
+    summed = rows.mapInArrow(_learn, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     by_lang = summed.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("c"))  # at most BINS entries a language
     got = {r["lang"]: r["c"] for r in by_lang.limit(MOST_LANGS + 1).toLocalIterator()}
     if len(got) > MOST_LANGS:
@@ -79,34 +81,52 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, counts / counts.sum(0)
 
 
-def mixture(counts: np.ndarray, prob: np.ndarray, penalty: float = 6.0, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Selected languages and their proportions, heaviest first."""
+def mixture(counts: np.ndarray, prob: np.ndarray, logs: np.ndarray | None = None, penalty: float = 6.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Selected languages and their proportions, heaviest first. logs: the logarithms of prob, if at hand."""
     some = np.flatnonzero(counts)
     c, p = counts[some].astype(float), prob[some]
     n = c.sum()
+    cost = penalty + 0.5 * np.log(n)
 
     def fit(cols, w):
         q = p[:, cols]
         for _ in range(rounds):
             r = q * w
-            w = (c / r.sum(1)) @ r / n
+            new = (c / r.sum(1)) @ r / n
+            moved, w = np.abs(new - w).max(), new
+            if moved < 1e-4:
+                break
         return w, float(c @ np.log(q @ w))
 
-    w, _ = fit(np.arange(p.shape[1]), np.full(p.shape[1], 1 / p.shape[1]))
-    order = np.argsort(-w, kind="stable")
-    chosen, weight = order[:1], np.ones(1)
-    best = float(c @ np.log(p[:, order[0]]))
-    for m in range(2, len(order) + 1):
-        now, like = fit(order[:m], w[order[:m]] / w[order[:m]].sum())
-        if like - best <= penalty + 0.5 * np.log(n):
+    alone = c @ (np.log(p) if logs is None else logs[some])
+    chosen, weight = [int(np.argmax(alone))], np.ones(1)
+    like = float(alone[chosen[0]])
+    while len(chosen) < p.shape[1]:
+        bound = (c / (p[:, chosen] @ weight)) @ p - n  # what each language could add at most
+        bound[chosen] = -np.inf
+        best = None
+        for j in np.argsort(-bound, kind="stable"):
+            if bound[j] <= max(cost, best[0] if best else cost):
+                break
+            w, new = fit([*chosen, j], np.append(weight * 0.9, 0.1))
+            if new - like > max(cost, best[0] if best else cost):
+                best = new - like, int(j), w, new
+        if best is None:
             break
-        chosen, weight, best = order[:m], now, like
+        chosen, weight, like = [*chosen, best[1]], best[2], best[3]
+        while len(chosen) > 2:  # the newest has just earned its place
+            less = [(fit(chosen[:k] + chosen[k + 1 :], np.delete(weight, k) / max(1e-12, 1 - weight[k])), k) for k in range(len(chosen) - 1)]
+            (w, new), k = max(less, key=lambda x: x[0][1])
+            if like - new > cost:
+                break
+            chosen, weight, like = chosen[:k] + chosen[k + 1 :], w, new
     top = np.argsort(-weight, kind="stable")
-    return chosen[top], weight[top]
+    return np.array(chosen)[top], weight[top]
 
 
 def _predict(langs: list[str], prob: np.ndarray):
     def run(batches):
+        logs = np.log(prob)
         for b in batches:
             column = b.column("text")
             data, off = buffers(column)
@@ -118,7 +138,7 @@ def _predict(langs: list[str], prob: np.ndarray):
                     score.append(0.0)
                     parts.append([])
                     continue
-                who, share = mixture(counts, prob)
+                who, share = mixture(counts, prob, logs)
                 pred.append(langs[who[0]])
                 score.append(float(min(1.0, share[0])))
                 parts.append([(langs[k], float(s)) for k, s in zip(who, share, strict=True)])
