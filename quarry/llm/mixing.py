@@ -8,8 +8,10 @@ part. The tree splits the vector of the sources' draw counts among the output sh
 draws, and how many of each source go left is drawn from the multivariate hypergeometric distribution, so
 shards get exact, disjoint, random quotas. Each shard shuffles its own rows.
 
-Blocks number at most `blocks` and one a source, whatever the input; rows meet their source's few numbers by
-a join, and no running sum crosses more than one source's blocks or one block's documents.
+A block has `block_words` words or, where that is more, the square root of all words: blocks and the documents of the
+one block where a remainder ends both grow with the root of the input. Rows meet their source's few numbers by a join,
+and no running sum crosses more than one source's blocks or one block's documents. The sources themselves, a row each,
+are ranked and split in one task; some thousands are meant.
 
 Defined results: null and empty text has size 0 and is never taken; null source is a source of its own, last
 in order; rows of one doc_id in one source share a place in the order, and share its last part equally; an
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_side, stored, width
+from .common import discard, small_side, stored, width
 
 WEIGHTS = (5, 2, 1)
 SPACE = r"\x20\x09-\x0D"
@@ -110,14 +112,14 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return lists.select("skey", F.expr("aggregate(n, cast(array() as array<bigint>), (a, x) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + x)))").alias("cuts")) if shards > 1 else lists.select("skey", F.col("n").alias("cuts"))
 
 
-def plan(sized: DataFrame, share: float, epochs: int, blocks: int, block_words: int, shards: int, seed: int) -> DataFrame:
-    """One row a (source, block): everything a document needs to know its draws.
+def plan(sized: DataFrame, share: float, epochs: int, block_words: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """One row a (source, block), and one a source: everything a document needs to know its draws.
 
     sized: skey, spot (hash of the document id), size.
     """
     t = targets(sized, share, epochs)
     total = F.sum("source_size").over(W.partitionBy(F.lit(1)))
-    each = F.greatest(F.lit(block_words).cast("long"), F.ceil(total / blocks))
+    each = F.greatest(F.lit(block_words).cast("long"), F.ceil(F.sqrt(total)))
     t = t.withColumn("n_blocks", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / each)))
     want = F.round("target").cast("long")
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long")))
@@ -139,17 +141,23 @@ def plan(sized: DataFrame, share: float, epochs: int, blocks: int, block_words:
 
     drawn = b.groupBy("skey").agg(F.count("*").alias("full"), (F.max("whole") * F.count("*") + F.coalesce(F.max(F.when(F.col("left") > 0, F.col("turn") + 1)), F.lit(0))).cast("long").alias("draws"))
     drawn = stored(drawn, "drawn")
-    cuts = split_quotas(drawn.select("skey", "draws"), shards, seed).join(drawn, "skey")
-    return b.join(small_side(cuts, t.count(), row_bytes=64 + 8 * shards), "skey").select(
-        "skey", "block", "source_size", "target", "n_blocks", "whole", "turn", "left", "words", "last_spot", "part", "full", "cuts"
-    )
+    sources = split_quotas(drawn.select("skey", "draws"), shards, seed).join(drawn, "skey").join(few, "skey")
+    return b.select("skey", "block", "source_size", "target", "whole", "turn", "left", "words", "last_spot", "part"), sources.select("skey", "n_blocks", "full", "cuts")
+
+
+class Plan:
+    """The stored tables of a plan, with their counted sizes and the number of shards."""
+
+    def __init__(self, blocks: DataFrame, sources: DataFrame, shards: int):
+        self.blocks, self.sources, self.shards = blocks, sources, shards
+        self.n_blocks, self.n_sources = blocks.count(), sources.count()
 
 
-def draws(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
+def draws(rows: DataFrame, plan: Plan) -> DataFrame:
     """rows (with skey, spot, size) and their draws: an array of (epoch, shard, words)."""
-    t = small_side(table.withColumnRenamed("n_blocks", "n_blocks_"), n, row_bytes=256)
-    per_source = small_side(table.select("skey", "n_blocks").distinct(), n)
-    rows = rows.join(per_source, "skey").withColumn("block", F.col("spot") % F.col("n_blocks")).join(t, ["skey", "block"])
+    rows = rows.join(small_side(plan.sources.select("skey", "n_blocks"), plan.n_sources), "skey").withColumn("block", F.col("spot") % F.col("n_blocks"))
+    rows = rows.join(small_side(plan.blocks, plan.n_blocks, row_bytes=160), ["skey", "block"])
+    rows = rows.join(small_side(plan.sources.select("skey", "full", "cuts"), plan.n_sources, row_bytes=96 + 8 * plan.shards), "skey")
     rest = F.expr("case when left = 0 then 0L when left = words then size when spot < last_spot then size when spot = last_spot then least(size, part) else 0L end")
     shard = "size(filter(cuts, c -> c <= {d}))"
     full = F.expr(f"transform(sequence(0L, whole), e -> named_struct('epoch', e, 'shard', {shard.format(d='e * full + turn')}, 'words', if(e < whole, size, rest)))")
@@ -160,30 +168,31 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"skey": _key(), "spot": place(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "size": words()})
 
 
-def _plan_of(docs: DataFrame, share: float, epochs: int, blocks: int, block_words: int, shards: int | None, seed: int):
+def _plan_of(docs: DataFrame, share: float, epochs: int, block_words: int, shards: int | None, seed: int) -> tuple[DataFrame, Plan]:
     shards = shards or 1 << max(0, math.ceil(math.log2(width(docs.sparkSession))))
     sized = stored(_prepared(docs.select("doc_id", "source", "text")).select("doc_id", "skey", "spot", "size"), "sized")
-    table = stored(plan(sized, share, epochs, blocks, block_words, shards, seed), "plan")
-    return sized, table, table.count(), shards
+    blocks, sources = plan(sized, share, epochs, block_words, shards, seed)
+    return sized, Plan(stored(blocks, "plan"), stored(sources, "sources"), shards)
 
 
-def quotas(docs: DataFrame, share: float = 1.5, epochs: int = 2, blocks: int = 16384, block_words: int = 50_000, shards: int | None = None, seed: int = 1) -> DataFrame:
+def quotas(docs: DataFrame, share: float = 1.5, epochs: int = 2, block_words: int = 50_000, shards: int | None = None, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken, draws of every document."""
-    sized, table, n, _ = _plan_of(docs, share, epochs, blocks, block_words, shards, seed)
+    sized, of = _plan_of(docs, share, epochs, block_words, shards, seed)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return draws(sized, table, n).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return draws(sized, of).select("doc_id", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mixed(docs: DataFrame, share: float = 1.5, epochs: int = 2, blocks: int = 16384, block_words: int = 50_000, shards: int | None = None, seed: int = 1) -> DataFrame:
-    """The rows of docs, all columns, once for each draw, dealt to the shards and shuffled within them.
+def mixed(docs: DataFrame, share: float = 1.5, epochs: int = 2, block_words: int = 50_000, shards: int | None = None, seed: int = 1) -> DataFrame:
+    """The rows of docs, all columns, once for each draw, dealt to the shards, one partition each, and shuffled within them.
 
     The document that gives only a part of its words is repeated whole: texts are never cut.
     """
-    _, table, n, shards = _plan_of(docs, share, epochs, blocks, block_words, shards, seed)
+    sized, of = _plan_of(docs, share, epochs, block_words, shards, seed)
+    discard(sized)
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}  # so that no column of docs clashes with the plan's
     kept = _prepared(docs.select("doc_id", "source", "text", F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_")))
     kept = kept.select("skey", "spot", "size", "row_")
-    out = draws(kept, table, n).select("row_", "spot", F.explode("draws").alias("d"))
-    out = out.repartition(shards, F.col("d.shard"))
-    out = out.sortWithinPartitions(F.col("d.shard"), place(F.lit(str(seed)), F.col("spot"), F.col("d.epoch")))
+    out = draws(kept, of).select("row_", "spot", F.explode("draws").alias("d"))
+    out = out.repartitionById(of.shards, F.col("d.shard").cast("int"))
+    out = out.sortWithinPartitions(place(F.lit(str(seed)), F.col("spot"), F.col("d.epoch")))
     return out.select(*[F.col(f"row_.{names[c]}").alias(c) for c in docs.columns])

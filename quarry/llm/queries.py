@@ -159,7 +159,7 @@ s2 as (
 lam as (select lam from s2 where lam <= level order by level, last, skey limit 1),
 s3 as (select skey, source_size, least(cap, coalesce((select lam from lam), level) * weight) as target from s2),
 s4 as (
-  select *, greatest(1, ceil(source_size / greatest(50000, ceil((select sum(source_size) from s3) / 16384))))::bigint as n_blocks,
+  select *, greatest(1, ceil(source_size / greatest(50000, ceil(sqrt((select sum(source_size) from s3))))))::bigint as n_blocks,
     case when source_size > 0 then (round(target)::bigint // source_size)::bigint else 0 end as whole
   from s3),
 t as (select *, round(target)::bigint - whole * source_size as rest from s4),

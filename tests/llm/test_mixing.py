@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm.mixing import _hyper, mixed, quotas
+from quarry.llm.mixing import _hyper, _plan_of, mixed, quotas, split_quotas
 
 SCHEMA = "doc_id long, text string, source string, size long, draws string"
 
@@ -94,3 +94,35 @@ def test_shards_hold_disjoint_quotas(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert quotas(docs).count() == 0 and mixed(docs).count() == 0
+
+
+def test_tree_deals_exact_quotas_at_random(spark):
+    """Every shard gets its part of all draws, every source its own number, and the parts vary as draws without replacement do."""
+    quotas_ = {"sa": 3200, "sb": 2400, "sc": 799, "sd": 1, "se": 0}
+    cuts = {r.skey: list(r.cuts) for r in split_quotas(spark.createDataFrame(list(quotas_.items()), "skey string, draws long"), 64, 3).collect()}
+    assert {k: v[-1] for k, v in cuts.items()} == quotas_
+    parts = {k: [b - a for a, b in zip([0, *v], v, strict=False)] for k, v in cuts.items()}
+    assert all(p >= 0 for v in parts.values() for p in v) and {sum(x) for x in zip(*parts.values(), strict=True)} == {100}
+    for k in ("sa", "sb", "sc"):
+        q = quotas_[k] / 6400
+        want = 100 * q * (1 - q) * (6400 - 100) / 6399
+        mean = sum(parts[k]) / 64
+        assert 0.5 * want < sum((p - mean) ** 2 for p in parts[k]) / 63 < 1.8 * want
+
+
+def test_each_shard_is_a_partition(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    want = Counter(r.shard for r in quotas(docs, block_words=300, shards=8).select(F.explode("draws").alias("d")).select("d.shard").collect())
+    out = mixed(docs, block_words=300, shards=8)
+    assert out.rdd.getNumPartitions() == 8
+    assert dict(enumerate(out.rdd.glom().map(len).collect())) == {k: want.get(k, 0) for k in range(8)}
+
+
+def test_blocks_grow_with_the_root(spark):
+    """With few words a block the number of blocks stays under the root of all words, and the result is as exact."""
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    sized, of = _plan_of(docs, 1.5, 2, 1, 4, 1)
+    words = sized.agg(F.sum("size")).first()[0]
+    assert 1 < of.n_blocks <= words**0.5 + of.n_sources
+    taken = quotas(docs, block_words=1, shards=4).agg(F.sum("taken")).first()[0]
+    assert abs(taken - 1.5 * words) <= 2 * of.n_sources
