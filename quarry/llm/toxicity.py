@@ -5,11 +5,12 @@ theta increasing. x counts the hashed words of a text and the words' beginnings,
 P(grade >= k), and a text counts as toxic if P(grade >= 1) is at least one half.
 
 The model is fitted on at most `per_grade` labelled documents of each grade, those with the smallest hash of
-their id; every document is scored over its whole text.
+their id, and of these on as many as have `sample_bytes` of features together; every document is scored over its
+whole text.
 
 Defined results: null text and text without a word have severity 0 and are not toxic, and so has every text if
-fewer than two grades are labelled; labels that are null or have no document are not learned from; repeated
-rows each get their row; an empty table gives no rows; other columns are ignored.
+fewer than two grades are labelled; labels that are null or have no document are not learned from; a document with
+several labels or rows is learned from with each; repeated rows each get their row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from .kernels import LETTERS, U, buffers, mix
 
@@ -70,55 +72,74 @@ class CumulativeLink:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.theta[None, :], -40, 40)))
 
 
+class Likelihood:
+    """The penalised likelihood of graded texts: weights of the features that enough texts have, then the thresholds.
+
+    The first threshold is a parameter as it is, each further one the logarithm of its distance from the one before.
+    """
+
+    def __init__(self, grades: np.ndarray, bins: list[np.ndarray], counts: list[np.ndarray], least: int, l2: float):
+        self.grades, self.top, self.n = grades, int(grades.max()), len(grades)
+        lens = np.array([len(b) for b in bins])
+        flat = np.concatenate(bins) if bins else np.empty(0, np.int32)
+        keep = np.bincount(flat, minlength=1 << BITS)[flat] >= least
+        self.row, self.x = np.repeat(np.arange(len(bins)), lens)[keep], value(np.concatenate(counts))[keep]
+        self.used, self.col = np.unique(flat[keep], return_inverse=True)
+        self.k, self.l2 = len(self.used), l2 / max(1, np.sqrt(self.n))
+        self.weight = np.ones(self.n)
+        for g in range(self.top + 1):  # grades weigh alike, however many rows they have
+            self.weight[grades == g] = self.n / ((self.top + 1) * max(1, (grades == g).sum()))
+
+    def start(self) -> np.ndarray:
+        cum = [float(self.weight[self.grades >= k].sum() / self.weight.sum()) for k in range(1, self.top + 1)]
+        raw = np.array([np.log((1 - c) / max(c, 1e-3)) for c in cum])
+        return np.concatenate([np.zeros(self.k), raw[:1], np.log(np.maximum(np.diff(raw), 1e-2))])
+
+    def theta(self, par: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.concatenate([par[self.k : self.k + 1], np.exp(par[self.k + 1 :])]))
+
+    def loss(self, par: np.ndarray) -> tuple[float, np.ndarray]:
+        """What a text costs on average, with the penalty; and its gradient."""
+        k, grades, at = self.k, self.grades, np.arange(self.n)
+        score = np.bincount(self.row, weights=par[:k][self.col] * self.x, minlength=self.n)
+        p = 1 / (1 + np.exp(-np.clip(score[:, None] - self.theta(par)[None, :], -40, 40)))
+        one, none = np.ones((self.n, 1)), np.zeros((self.n, 1))
+        full, slope = np.concatenate([one, p, none], 1), np.concatenate([none, p * (1 - p), none], 1)
+        mass = np.maximum(full[at, grades] - full[at, grades + 1], 1e-9)
+        d_low, d_high = slope[at, grades] / mass, slope[at, grades + 1] / mass  # d log mass / d(score - theta)
+        g_score = -self.weight * (d_low - d_high)
+        g_theta = np.bincount(grades, weights=self.weight * d_low, minlength=self.top + 1)[1:] - np.bincount(grades, weights=self.weight * d_high, minlength=self.top + 1)[:-1]
+        tail = np.cumsum(g_theta[::-1])[::-1]
+        grad = np.concatenate([np.bincount(self.col, weights=g_score[self.row] * self.x, minlength=k), tail[:1], tail[1:] * np.exp(par[k + 1 :])]) / self.n
+        grad[:k] += self.l2 * par[:k]
+        return float(-(self.weight * np.log(mass)).sum() / self.n + self.l2 / 2 * (par[:k] ** 2).sum()), grad
+
+
 def fit(grades: np.ndarray, bins: list[np.ndarray], counts: list[np.ndarray], least: int = 3, l2: float = 0.3, steps: int = 250) -> CumulativeLink:
     """Maximum penalised likelihood by full-batch Adam; words in fewer than `least` texts get no weight."""
-    top = int(grades.max())
-    lens = np.array([len(b) for b in bins])
-    flat = np.concatenate(bins) if bins else np.empty(0, np.int32)
-    df = np.bincount(flat, minlength=1 << BITS)
-    keep = df[flat] >= least
-    row = np.repeat(np.arange(len(bins)), lens)[keep]
-    x = value(np.concatenate(counts))[keep]
-    used, col = np.unique(flat[keep], return_inverse=True)
-    weight = np.ones(len(grades))
-    for g in range(top + 1):  # grades weigh alike, however many rows they have
-        weight[grades == g] = len(grades) / ((top + 1) * max(1, (grades == g).sum()))
-    cum = [float(weight[grades >= k].sum() / weight.sum()) for k in range(1, top + 1)]
-    raw = np.array([np.log((1 - c) / max(c, 1e-3)) for c in cum])
-    par = np.concatenate([np.zeros(len(used)), raw[:1], np.log(np.maximum(np.diff(raw), 1e-2))])
+    of = Likelihood(grades, bins, counts, least, l2)
+    par = of.start()
     m, v = np.zeros_like(par), np.zeros_like(par)
-    k = len(used)
     for t in range(1, steps + 1):
-        theta = np.cumsum(np.concatenate([par[k : k + 1], np.exp(par[k + 1 :])]))
-        score = np.bincount(row, weights=par[:k][col] * x, minlength=len(bins))
-        p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -40, 40)))
-        full = np.concatenate([np.ones((len(bins), 1)), p, np.zeros((len(bins), 1))], 1)
-        at = np.arange(len(bins))
-        mass = np.maximum(full[at, grades] - full[at, grades + 1], 1e-9)
-        slope = np.concatenate([np.zeros((len(bins), 1)), p * (1 - p), np.zeros((len(bins), 1))], 1)
-        d_low, d_high = slope[at, grades] / mass, slope[at, grades + 1] / mass  # d log mass / d(score - theta)
-        g_score = -weight * (d_low - d_high)
-        g_theta = np.zeros(top)
-        np.add.at(g_theta, grades[grades > 0] - 1, (weight * d_low)[grades > 0])
-        np.add.at(g_theta, grades[grades < top], -(weight * d_high)[grades < top])
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        grad = np.concatenate([np.bincount(col, weights=g_score[row] * x, minlength=k), tail[:1], tail[1:] * np.exp(par[k + 1 :])]) / len(bins)
-        grad[:k] += l2 * par[:k] / max(1, np.sqrt(len(bins)))
+        _, grad = of.loss(par)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         par -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[used] = par[:k]
-    return CumulativeLink(weights, np.cumsum(np.concatenate([par[k : k + 1], np.exp(par[k + 1 :])])))
+    weights[of.used] = par[: of.k]
+    return CumulativeLink(weights, of.theta(par))
 
 
-def train(docs: DataFrame, grades: DataFrame, per_grade: int = 4000, top: int = 2) -> CumulativeLink | None:
+def train(docs: DataFrame, grades: DataFrame, per_grade: int = 4000, top: int = 2, sample_bytes: int = 48 << 20) -> CumulativeLink | None:
     """The model, or None if fewer than two grades have documents."""
     picked = None
     for g in range(top + 1):
         some = grades.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
         picked = some if picked is None else picked.unionByName(some)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # at most per_grade rows a grade
-    got = rows.select("grade", "text").mapInArrow(_features, "grade int, bins binary").orderBy("grade", "bins").limit(2 * per_grade * (top + 1)).collect()
+    found = rows.select("grade", "text").mapInArrow(_features, "grade int, bins binary").withColumn("size", F.octet_length("bins"))
+    few = W.partitionBy("grade").orderBy(F.xxhash64("bins"), "bins").rowsBetween(W.unboundedPreceding, 0)
+    found = found.withColumns({"sofar": F.sum("size").over(few), "turn": F.row_number().over(W.partitionBy("grade").orderBy(F.xxhash64("bins"), "bins"))})
+    got = found.where((F.col("sofar") <= sample_bytes // (top + 1)) & (F.col("turn") <= 2 * per_grade)).orderBy("grade", "turn").select("grade", "bins").collect()
     seen = sorted({r.grade for r in got})
     if len(seen) < 2:
         return None
