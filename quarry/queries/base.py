@@ -1,4 +1,4 @@
-"""The operators bound to the driver's tables, each over whole tables, with SQL for the same rows."""
+"""Catalog, journal, content, estimator and codec operators bound to the driver's tables, with SQL for the same rows."""
 
 from __future__ import annotations
 
@@ -8,57 +8,7 @@ from pyspark.sql.window import Window as W
 from quarry.functions import codecs as X
 from quarry.operators import catalog, content, folds, journal
 from quarry.plans import views as V
-
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = f"with {VIEWS} {sql.strip()}"
-        return f
-
-    return add
-
-
-#: The logical tables in SQL, as plans.views has them.
-VIEWS = r"""
-v_origins as (select s_suppkey as origin, n_regionkey as tier, s_acctbal >= 0 as live from supplier join nation on s_nationkey = n_nationkey),
-v_holdings as (select distinct l_suppkey as origin, l_partkey as content from lineitem),
-v_facts as (
-  select doc_id, substr(sha256(doc_id::varchar), 1, 32) as hash_part, sha256(text) as content, '/store/' || substr(sha256(doc_id::varchar), 1, 32) || '-' || source as path,
-    n_chars as size, case when lang = 'en' then 'fixed:' || lang else '' end as ca from documents),
-v_hash0 as (select *, sha256(concat_ws(chr(31), coalesce('=' || hash_part, '-'), coalesce('=' || content, '-'), coalesce('=' || path, '-'), coalesce('=' || size, '-'), coalesce('=' || ca, '-'))) as h from v_facts),
-v_hash as (
-  select * exclude (h), ('0x' || substr(h, 1, 4))::int as leaf,
-    case when substr(h, 1, 1) >= '8' then (('0x' || substr(h, 1, 16))::hugeint - 18446744073709551616)::bigint else ('0x' || substr(h, 1, 16))::bigint end as hi,
-    case when substr(h, 17, 1) >= '8' then (('0x' || substr(h, 17, 16))::hugeint - 18446744073709551616)::bigint else ('0x' || substr(h, 17, 16))::bigint end as lo
-  from v_hash0),
-v_journal as (
-  select user_id as origin, row_number() over (partition by user_id order by event_id) as seq,
-    case when event_type in ('view', 'click') then 'have' when event_type = 'error' then 'drop' else 'attest' end as op, (props->>'$.k')::bigint as content, length(props) as bytes from events),
-v_acks as (select o_orderpriority as peer, o_custkey as origin, count(*) as seq from orders group by 1, 2),
-v_clocks as (select origin, 1 + count(distinct op) as generation, max(seq) as seq, max(seq) // 2 as tail_seq from v_journal group by origin),
-v_theirs as (select o_custkey as origin, 1 + count(distinct o_orderstatus) as generation, count(*) as seq from orders group by 1),
-v_segments as (select doc_id as tree, unnest(range(0, (length(text) + 63) // 64)) as ord, unnest([substr(text, (64 * o + 1)::int, 64) for o in range(0, (length(text) + 63) // 64)]) as part from documents),
-v_seg as (select tree, ord, ord * 64 as off, length(part) as len, sha256(part) as hash from v_segments),
-v_obs as (select event_type as peer, epoch_us(ts) as t, event_id as id, value, event_type <> 'error' as ok, user_id as "set" from events)
-"""
-
-
-def clocks(spark: SparkSession, sf: str) -> DataFrame:
-    """origin, generation, seq, tail_seq of the journal."""
-    return V.journal(spark, sf).groupBy("origin").agg((F.count_distinct("op") + 1).alias("generation"), F.max("seq").alias("seq"), F.expr("max(seq) div 2").alias("tail_seq"))
-
-
-def their_clocks(spark: SparkSession, sf: str) -> DataFrame:
-    o = V.table(spark, sf, "orders")
-    return o.groupBy(F.col("o_custkey").alias("origin")).agg((F.count_distinct("o_orderstatus") + 1).alias("generation"), F.count("*").alias("seq"))
-
+from quarry.queries.registry import clocks, query, their_clocks
 
 @query("""
 , live as (select content, tier, count(*) as holders, min(h.origin) as first from v_holdings h join v_origins o on h.origin = o.origin where live group by 1, 2)
@@ -181,12 +131,12 @@ def journal_fold(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 , j as (select v.origin, v.seq, v.bytes from v_journal v left join (select origin, max(seq) as acked from v_acks group by 1) a using (origin) where v.seq > coalesce(acked, 0)),
 s as (select *, sum(bytes) over (partition by origin order by seq) as sofar, row_number() over (partition by origin order by seq) as k, count(*) over (partition by origin) as n from j),
-p as (select * from s where sofar <= 40 or k = 1)
+p as (select * from s where sofar <= 600 or k = 1)
 select origin, seq, bytes, n > count(*) over (partition by origin) as truncated from p""")
 def journal_suffix_page(spark: SparkSession, sf: str) -> DataFrame:
     acked = V.acks(spark, sf).groupBy("origin").agg(F.max("seq").alias("acked"))
     rows = V.journal(spark, sf).join(acked, "origin", "left").where(F.col("seq") > F.coalesce("acked", F.lit(0))).select("origin", "seq", "bytes")
-    return catalog.byte_prefix(rows, ["origin"], ["seq"], 40)
+    return catalog.byte_prefix(rows, ["origin"], ["seq"], 600)
 
 
 @query("select source, doc_id, n_chars from documents where (source, doc_id) > ('src12', 17) order by source, doc_id limit 100")
@@ -241,14 +191,14 @@ def range_ask_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-, a as (select origin, generation, seq as after, seq + 6 as until from v_theirs),
+, a as (select origin, generation, greatest(seq - origin % 7, 0) as after, seq + 6 as until from v_theirs),
 r as (select a.*, coalesce(a.generation = c.generation and a.after >= c.tail_seq and a.after < a.until, false) as reachable from a left join v_clocks c using (origin)),
 j as (select r.origin, r.after, r.until, v.seq, v.bytes, sum(v.bytes) over (partition by r.origin order by v.seq) as sofar, row_number() over (partition by r.origin order by v.seq) as k
   from r join v_journal v on r.origin = v.origin and v.seq > r.after and v.seq <= r.until where reachable),
 g as (select origin, count(*) as events, sum(bytes)::bigint as bytes from j where sofar <= 30 or k = 1 group by 1)
 select r.origin, r.after, r.until, reachable, coalesce(events, 0) as events, coalesce(bytes, 0) as bytes from r left join g using (origin)""")
 def range_reply(spark: SparkSession, sf: str) -> DataFrame:
-    asks = their_clocks(spark, sf).select("origin", "generation", F.col("seq").alias("after"), (F.col("seq") + 6).alias("until"))
+    asks = their_clocks(spark, sf).select("origin", "generation", F.expr("greatest(seq - origin % 7, 0L)").alias("after"), (F.col("seq") + 6).alias("until"))
     return journal.range_replies(asks, clocks(spark, sf), V.journal(spark, sf), 30)
 
 
@@ -272,17 +222,20 @@ def retain_origins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Contents held locally (not yet shipped lines) and exported before (shipped ones)."""
-    li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("content"), "l_returnflag")
-    return li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'")
+    """Lines held locally (of orders that 5 doesn't divide) and exported before (of orders that 7 doesn't divide), by order and part."""
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("content"))
+    return li.where("l_orderkey % 5 <> 0").select("content"), li.where("l_orderkey % 7 <> 0").select("content")
 
 
-@query("select distinct l_partkey as content from lineitem where l_returnflag = 'A' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'R')")
+CDC = ", c as (select distinct l_orderkey as o, l_orderkey || '-' || l_partkey as content from lineitem)"
+
+
+@query(f"{CDC} select content from c where o % 5 <> 0 and o % 7 = 0")
 def cdc_adds(spark: SparkSession, sf: str) -> DataFrame:
     return journal.full_diff(*_snapshots(spark, sf)).where("op = 'have'").select("content")
 
 
-@query("select distinct l_partkey as content from lineitem where l_returnflag = 'R' and l_partkey not in (select l_partkey from lineitem where l_returnflag = 'A')")
+@query(f"{CDC} select content from c where o % 5 = 0 and o % 7 <> 0")
 def cdc_drops(spark: SparkSession, sf: str) -> DataFrame:
     return journal.full_diff(*_snapshots(spark, sf)).where("op = 'drop'").select("content")
 
@@ -333,7 +286,7 @@ def snapshot_replace(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-, s as (select t.origin, t.generation, unnest(range(t.seq, t.seq + 4)) as seq, 'have' as op, 1 as content from v_theirs t),
+, s as (select t.origin, t.generation, unnest(range(t.seq + case when origin % 11 = 0 then 3 else 0 end, t.seq + 4 + case when origin % 11 = 0 then 3 else 0 end)) as seq, 'have' as op, 1 as content from v_theirs t),
 r as (select s.*, coalesce(c.generation, 0) as g, coalesce(c.seq, 0) as cs from s left join v_clocks c using (origin)),
 f as (select origin, seq, coalesce(lag(seq) over (partition by origin order by seq), cs) as before from r where seq > cs),
 h as (select origin, bool_or(seq <> before + 1) as gap, count(*) as n from f group by 1),
@@ -342,7 +295,7 @@ d as (select o.origin, case when o.generation < g then 'ignored' when g > 0 and
   when coalesce(n, 0) = 0 then 'replayed' else 'applied' end as outcome, n from o left join h using (origin))
 select origin, outcome, case when outcome = 'applied' then n else 0 end as applied from d""")
 def journal_apply(spark: SparkSession, sf: str) -> DataFrame:
-    suffix = their_clocks(spark, sf).select("origin", "generation", F.explode(F.sequence("seq", F.col("seq") + 3)).alias("seq"), F.lit("have").alias("op"), F.lit(1).cast("long").alias("content"))
+    suffix = their_clocks(spark, sf).select("origin", "generation", F.explode(F.expr("sequence(seq + if(origin % 11 = 0, 3, 0), seq + 3 + if(origin % 11 = 0, 3, 0))")).alias("seq"), F.lit("have").alias("op"), F.lit(1).cast("long").alias("content"))
     return journal.applied(V.journal(spark, sf), clocks(spark, sf), suffix)[0]
 
 
@@ -403,19 +356,40 @@ def range_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey as probe, (select max_by(event_id, (ts, event_id)) from events where user_id = o_custkey and ts <= o_orderdate) as entry from orders""")
+, p as (select conv_id, turn, (length(text) + length(role) + 16)::bigint as len from conversations),
+o as (select conv_id, turn, coalesce(sum(len) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as off from p)
+select q.conv_id * 1000 + q.turn as probe, (select max_by(o.turn, (o.off, o.turn)) from o where o.conv_id = q.conv_id and o.off <= q.turn * 450 - 40) as entry from conversations q""")
 def floor_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("probe"))
-    e = V.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("entry"))
-    return content.floor_lookup(o, e)
+    """The turn in which each of some places of a conversation lies, none before its start."""
+    c = V.table(spark, sf, "conversations")
+    spans = content.offsets(c.select("conv_id", "turn", (F.length("text") + F.length("role") + 16).cast("long").alias("len")), "conv_id", ["turn"])
+    probes = c.select(F.col("conv_id").alias("key"), (F.col("turn") * 450 - 40).alias("at"), (F.col("conv_id") * 1000 + F.col("turn")).alias("probe"))
+    return content.floor_lookup(probes, spans.select(F.col("conv_id").alias("key"), F.col("off").alias("at"), F.col("turn").alias("entry")))
 
 
-@query("""
-, g as (select tree, count(*) as n, sum(len) as bytes from v_seg group by 1)
-select doc_id as tree, coalesce(n, 0) as segments, (n_chars + 63) // 64 as expected, coalesce(bytes, 0) = n_chars as bytes_ok, true as gap_free,
-  coalesce(n, 0) = (n_chars + 63) // 64 and coalesce(bytes, 0) = n_chars as ok from documents left join g on doc_id = tree""")
+BROKEN = """
+, m as (select tree, ord, off, case when tree % 10 = 2 and ord = 0 then len + 1 when tree % 10 = 3 and ord = 1 then 0 else len end as len, hash from v_seg where not (tree % 10 = 1 and ord = 1))"""
+
+
+def _broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of manifests, some of which lack one, say a wrong length, or have an empty one."""
+    s = V.segments(spark, sf).where("not (tree % 10 = 1 and ord = 1)")
+    return s.withColumn("len", F.expr("case when tree % 10 = 2 and ord = 0 then len + 1 when tree % 10 = 3 and ord = 1 then 0 else len end"))
+
+
+@query(f"""{BROKEN},
+f as (select *, off = coalesce(lag(off + len) over (partition by tree order by ord), 0) and len > 0 as follows from m),
+g as (select tree, count(*) as n, sum(len) as bytes, bool_and(follows) as follows from f group by 1),
+r as (select doc_id as tree, coalesce(n, 0) as segments, (n_chars + 63) // 64 as expected, coalesce(bytes, 0) = n_chars as bytes_ok, coalesce(follows, true) as gap_free from documents left join g on doc_id = tree)
+select *, segments = expected and bytes_ok and gap_free as ok from r""")
 def integrity_checks(spark: SparkSession, sf: str) -> DataFrame:
-    return content.integrity(V.table(spark, sf, "documents").select(F.col("doc_id").alias("tree"), F.col("n_chars").alias("size")), V.segments(spark, sf), V.SEGMENT)
+    return content.integrity(V.table(spark, sf, "documents").select(F.col("doc_id").alias("tree"), F.col("n_chars").alias("size")), _broken(spark, sf), V.SEGMENT)
+
+
+@query(f"{BROKEN} select hash from m group by 1 having min(len) <> max(len)")
+def lengths_disagree(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments that manifests give different lengths."""
+    return content.lengths_disagree(_broken(spark, sf))
 
 
 @query("""
@@ -489,15 +463,22 @@ def chunk_deadline(spark: SparkSession, sf: str) -> DataFrame:
     return V.observations(spark, sf).select("id", F.when(F.col("value") <= 0, 20.0).otherwise(F.least(F.greatest(F.lit(8.0) * 1000 / F.when(F.col("value") > 0, F.col("value")), F.lit(10.0)), F.lit(300.0))).alias("seconds"))
 
 
-@query("""select id, greatest(coalesce(least(1, greatest(0, (value - 0.5) / 4.5)), 0), case when ok then 0 else least(1, greatest(0, (value / 100.0::double - 0.10) / (0.05 - 0.10))) end)::double as severity from v_obs""")
+RAMPS = """, s as (select id, value / 40 as own, case when id % 3 = 0 then value / 10 end as system, case when id % 4 = 0 then value / 100 end as fill, case when not ok then 1 - value / 100 end as available from v_obs),
+r as (select id, least(1, greatest(0, (own - 0.5::double) / 4.5::double)) as a, least(1, greatest(0, (system - 2) / 18::double)) as b, least(1, greatest(0, (fill - 0.75::double) / (0.95::double - 0.75::double))) as c,
+  least(1, greatest(0, (available - 0.10::double) / (0.05::double - 0.10::double))) as d from s)"""
+
+
+@query(f"{RAMPS} select id, greatest(coalesce(a, 0), coalesce(b, 0), coalesce(c, 0), coalesce(d, 0))::double as severity from r")
 def severity(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None).cast("double")
-    return V.observations(spark, sf).select("id", X.severity(F.col("value"), none, none, F.when(~F.col("ok"), F.col("value") / 100.0)).alias("severity"))
+    """The worst of four signals, most of which can't always be read."""
+    v, i = F.col("value"), F.col("id")
+    signals = v / 40, F.when(i % 3 == 0, v / 10), F.when(i % 4 == 0, v / 100), F.when(~F.col("ok"), 1 - v / 100)
+    return V.observations(spark, sf).select("id", X.severity(*signals).alias("severity"))
 
 
 def _peers(spark: SparkSession, sf: str) -> list[str]:
-    """The configured peers: a few names."""
-    return sorted(r[0] for r in V.observations(spark, sf).select("peer").distinct().limit(1000).collect())
+    """The configured peers, all of them: a few names, which the state of every pool holds anyway."""
+    return sorted(r[0] for r in V.observations(spark, sf).select("peer").where("peer is not null").distinct().collect())
 
 
 @query()
@@ -698,13 +679,14 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-, m as (select max(t) - 3600000000 * 24 as now from v_obs),
-b as (select "set", peer, max(case when not ok then t + 86400000000 end) as until from v_obs group by 1, 2)
+, m as (select max(t) - 86400000000 * 3 as now from v_obs),
+b as (select "set", peer, max(case when value > 25 then t + 86400000000 * 4 end) as until from v_obs group by 1, 2)
 select "set", case when bool_or(until is null or until <= now) then null else min(until) end as recovery from b, m group by 1""")
 def soonest_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """When the first of a user's peers is free again, three days before the last event; none if one is free already."""
     o = V.observations(spark, sf)
-    now = o.agg((F.max("t") - 86_400_000_000).alias("now"))
-    b = o.groupBy("set", "peer").agg(F.max(F.when(~F.col("ok"), F.col("t") + 86_400_000_000)).alias("until")).join(F.broadcast(now))
+    now = o.agg((F.max("t") - 3 * 86_400_000_000).alias("now"))
+    b = o.groupBy("set", "peer").agg(F.max(F.when(F.col("value") > 25, F.col("t") + 4 * 86_400_000_000)).alias("until")).join(F.broadcast(now))
     free = F.col("until").isNull() | (F.col("until") <= F.col("now"))
     return b.groupBy("set").agg(F.when(~F.max(free), F.min("until")).alias("recovery"))
 

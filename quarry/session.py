@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -21,3 +23,18 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the folder that spark.checkpoint.dir names, or, where it names none and
+    all runs on one machine, in one of our own.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        sc.setCheckpointDir(base)
+    return df.checkpoint()
