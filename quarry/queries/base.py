@@ -144,13 +144,6 @@ def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.keyset_page(V.table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source", "doc_id"], ("src12", 17), 100)
 
 
-@query()
-def page_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of at most 64 KiB of each source's documents, greedily from each page's first."""
-    rows = V.table(spark, sf, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    return folds.folded(rows, "source", ["doc_id"], lambda: folds.Pages(64 << 10), lambda s, r: (r["source"], r["doc_id"], s.add(r["bytes"] or 0)), "source string, doc_id long, page long")
-
-
 @query("""
 , g as (select l_orderkey as origin, l_linenumber as seq, lag(l_linenumber) over (partition by l_orderkey order by l_linenumber) as before from lineitem)
 select origin, count(*) as events, sum((seq <> coalesce(before, seq - 1) + 1)::int)::bigint as gaps, min(case when seq <> coalesce(before, seq - 1) + 1 then seq end) as first_gap,
@@ -310,18 +303,6 @@ def segment_first_later(spark: SparkSession, sf: str) -> DataFrame:
     return content.first_later(V.segments(spark, sf)).select("tree", "ord", "later")
 
 
-@query()
-def dedup_plan_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Per source, which segments are fetched and retained, or replayed, with 8 KiB of residency."""
-    d = V.table(spark, sf, "documents").select(F.col("doc_id").alias("tree"), "source")
-    rows = V.segments(spark, sf).join(d, "tree")
-    ends = rows.groupBy("source", "hash").agg(F.count("*").alias("total"), F.min(F.struct("tree", "ord")).alias("a"), F.max(F.struct("tree", "ord")).alias("z"))
-    at = F.struct("tree", "ord")
-    rows = rows.join(ends, ["source", "hash"]).select("source", "tree", "ord", "len", "hash", "total", (at == F.col("a")).alias("first"), (at == F.col("z")).alias("last"))
-    step = lambda s, r: (r["source"], r["tree"], r["ord"], *s.add(r["hash"], r["len"], r["total"], r["first"], r["last"]))
-    return folds.folded(rows, "source", ["tree", "ord"], lambda: folds.Residency(8 << 10), step, "source string, tree long, ord int, step string, retain_for long")
-
-
 @query("""
 , f as (select *, row_number() over (partition by hash order by tree, ord) as k from v_seg),
 s as (select tree, off, len, lag(off + len) over (partition by tree order by off) as before from f where k = 1),
@@ -401,20 +382,13 @@ def byte_accounting(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-, o as (select peer, list(value order by t, id) as v from v_obs group by 1)
-select peer, list_reduce(v, lambda a, x: 0.7::double * a + 0.3::double * x) as rate from o""")
-def ewma_rate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = folds.folded(V.observations(spark, sf).select("peer", "t", "id", "value"), "peer", ["t", "id"], folds.Ewma, lambda s, r: (r["peer"], r["t"], r["id"], s.add(r["value"])), "peer string, t long, id long, rate double")
-    return rows.groupBy("peer").agg(F.max_by("rate", F.struct("t", "id")).alias("rate"))
-
-
-@query("""
-, r as (select peer, value, row_number() over (partition by peer order by value) as k, count(*) over (partition by peer) as n from v_obs)
-select peer, value as median from r where k = n // 2 + 1""")
+, r as (select peer, "set", value, row_number() over (partition by peer, "set" order by value) as k, count(*) over (partition by peer, "set") as n from v_obs)
+select peer, "set", value as median from r where k = n // 2 + 1""")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    w = W.partitionBy("peer")
-    rows = V.observations(spark, sf).select("peer", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    return rows.where(F.expr("k = n div 2 + 1")).select("peer", F.col("value").alias("median"))
+    """The middle rate of each user and peer, of two the greater one."""
+    w = W.partitionBy("peer", "set")
+    rows = V.observations(spark, sf).where("value is not null").select("peer", "set", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
+    return rows.where(F.expr("k = n div 2 + 1")).select("peer", "set", F.col("value").alias("median"))
 
 
 def _shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -476,125 +450,6 @@ def severity(spark: SparkSession, sf: str) -> DataFrame:
     return V.observations(spark, sf).select("id", X.severity(*signals).alias("severity"))
 
 
-def _peers(spark: SparkSession, sf: str) -> list[str]:
-    """The configured peers, all of them: a few names, which the state of every pool holds anyway."""
-    return sorted(r[0] for r in V.observations(spark, sf).select("peer").where("peer is not null").distinct().collect())
-
-
-@query()
-def weight_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights of a user's transfers over all peers after each observation; the pool's state is a user's own."""
-    peers = _peers(spark, sf)
-    rows = V.observations(spark, sf).select("set", "t", "id", "peer", "value", "ok")
-
-    def step(pool, r):
-        pool.observe(r["peer"], r["value"] * 1000, 0.1, r["ok"])
-        return r["set"], r["id"], r["peer"], pool.weight[r["peer"]], pool.loss
-
-    return folds.folded(rows, "set", ["t", "id"], lambda: folds.WeightPool(peers), step, "set long, id long, peer string, weight double, loss double")
-
-
-@query()
-def governor(spark: SparkSession, sf: str) -> DataFrame:
-    """Limits of each peer after every observation, taken as an epoch."""
-    rows = V.observations(spark, sf).select("peer", "t", "id", "value", "ok")
-    step = lambda g, r: (r["peer"], r["id"], g.observe(r["value"], False, int(r["ok"]) * 4, 4 - int(r["ok"]) * 4))
-    return folds.folded(rows, "peer", ["t", "id"], lambda: folds.Governor(2, 1, 64), step, "peer string, id long, limit long")
-
-
-@query()
-def breaker(spark: SparkSession, sf: str) -> DataFrame:
-    """State of each user's breaker after every event: 2 strikes open it for a day."""
-
-    def step(b, r):
-        b.observe(r["t"], r["ok"])
-        return r["set"], r["id"], b.strikes, b.until, b.opens
-
-    rows = V.observations(spark, sf).select("set", "t", "id", "ok")
-    return folds.folded(rows, "set", ["t", "id"], lambda: folds.Breaker(2, 86_400_000_000), step, "set long, id long, strikes long, open_until long, opens long")
-
-
-@query()
-def encoding_level(spark: SparkSession, sf: str) -> DataFrame:
-    """Compression level of each peer after every chunk, its times taken from the value."""
-
-    def step(s, r):
-        v = r["value"]
-        s[0] = folds.next_level(s[0], v * 1e5, 1.0, v / 100, 0.2, 0.1, r["ok"])
-        return r["peer"], r["id"], s[0]
-
-    return folds.folded(V.observations(spark, sf).select("peer", "t", "id", "value", "ok"), "peer", ["t", "id"], lambda: [folds.LEVEL_SEED], step, "peer string, id long, level long")
-
-
-@query()
-def cache_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Cache budget of each peer after every pressure sample."""
-
-    def step(s, r):
-        s[0] = folds.next_budget(s[0], 32 << 20, 256 << 20, r["value"] / 100)
-        return r["peer"], r["id"], s[0]
-
-    return folds.folded(V.observations(spark, sf).select("peer", "t", "id", "value"), "peer", ["t", "id"], lambda: [256 << 20], step, "peer string, id long, budget long")
-
-
-@query()
-def epochs(spark: SparkSession, sf: str) -> DataFrame:
-    """A peer's observations in epochs of an hour."""
-
-    def step(e, r):
-        got = e.add(r["t"], int(r["value"] * 1000), r["ok"])
-        return got and (r["peer"], *got)
-
-    rows = V.observations(spark, sf).select("peer", "t", "id", "value", "ok")
-    return folds.folded(rows, "peer", ["t", "id"], lambda: folds.Epochs(3_600_000_000), step, "peer string, start long, end long, rate double, consumer_bound boolean, ok long, errors long")
-
-
-@query()
-def leases(spark: SparkSession, sf: str) -> DataFrame:
-    """Which event types get hold of a user, an error releasing what it holds."""
-
-    def step(lease, r):
-        got = lease.claim(r["t"], r["peer"])
-        if not r["ok"]:
-            lease.release(r["peer"])
-        return r["set"], r["id"], got
-
-    rows = V.observations(spark, sf).select("set", "t", "id", "peer", "ok")
-    return folds.folded(rows, "set", ["t", "id"], lambda: folds.Leases(86_400_000_000), step, "set long, id long, granted boolean")
-
-
-@query()
-def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits and evictions of each supplier's cache over its lines in order."""
-
-    def step(c, r):
-        return r["l_suppkey"], r["l_orderkey"], r["l_linenumber"], *c.use(r["l_partkey"], int(r["l_quantity"]))
-
-    rows = V.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return folds.folded(rows, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"], lambda: folds.LruCache(500), step, "l_suppkey long, l_orderkey long, l_linenumber long, hit boolean, evicted long")
-
-
-@query()
-def transfer_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts of a simulated transfer of each document from three peers, sized by their rates."""
-    rates = {"near": 4e4, "far": 1e4, "thin": 2e3}
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for tree, size in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
-                for p, off, n, began, end, ok in folds.transfer(size or 0, rates, lambda r: int(min(max(r / 10, 512), 4096)), {"thin": tree % 2}):
-                    out.append((tree, p, off, n, began, end, ok))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "peer", "off", "len", "began", "ended", "ok"])
-
-    d = V.table(spark, sf, "documents").select("doc_id", "n_chars")
-    return d.mapInArrow(run, "tree long, peer string, off long, len long, began double, ended double, ok boolean")
-
-
 @query("""
 , e as (select "set", t, 1 as d from v_obs union all select "set", t + 3600000000, -1 from v_obs),
 s as (select "set", t, sum(d) over (partition by "set" order by t, d rows between unbounded preceding and current row) as n from e)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from hypothesis import given, settings as settings_, strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import codecs as X
@@ -103,43 +104,98 @@ def test_floor_lookup(spark):
     assert rows(content.floor_lookup(p, e)) == [(1, 11), (2, None), (3, None)]
 
 
-@pytest.mark.parametrize(("keys", "size", "budget", "fetched"), [([7, 1, 7, 2, 7], 4, 1 << 20, [0, 1, 3]), ([1, 2, 3, 4], 8, 1 << 20, [0, 1, 2, 3]), ([1, 2, 1, 2], 100, 100, [0, 1, 3]), ([1, 1, 2, 2], 100, 100, [0, 2]), ([5, 5, 5], 10, 0, [0, 1, 2])])
-def test_residency(keys, size, budget, fetched):
-    plan = folds.Residency(budget)
-    steps = [plan.add(str(k), size, keys.count(k), k not in keys[:i], k not in keys[i + 1 :]) for i, k in enumerate(keys)]
-    assert [i for i, (s, _) in enumerate(steps) if s == "fetch"] == fetched
-    if keys == [7, 1, 7, 2, 7]:
-        assert steps[0] == ("fetch", 2)
+@settings_(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(1, 9)), max_size=40), st.integers(0, 25))
+def test_residency_properties(uses, budget):
+    """The budget is never exceeded, every content is fetched first, and what is cached was promised when it was fetched."""
+    size = {}
+    uses = [(k, size.setdefault(k, n)) for k, n in uses]
+    keys = [k for k, _ in uses]
+    plan, promised, most = folds.Residency(budget), {}, 0
+    for i, (k, n) in enumerate(uses):
+        step, kept = plan.add(str(k), n, keys.count(k), k not in keys[:i], k not in keys[i + 1 :])
+        assert plan.used <= budget and plan.used == sum(plan.resident.values())
+        if k not in keys[:i]:
+            assert step == "fetch" and kept in (0, keys.count(k) - 1)
+            promised[k] = kept
+        else:
+            assert (step == "cached") == (promised[k] > 0) and kept == 0
+    assert not plan.resident
+
+
+def test_residency_without_a_limit_fetches_each_content_once():
+    keys = list("abcabcxa")
+    plan = folds.Residency(10**9)
+    steps = [plan.add(k, 3, keys.count(k), k not in keys[:i], k not in keys[i + 1 :])[0] for i, k in enumerate(keys)]
+    assert steps == ["fetch", "fetch", "fetch", "cached", "cached", "cached", "fetch", "cached"]
 
 
 # --- estimators -----------------------------------------------------------------------------------------
 
 
-def test_governor_finds_the_knee():
-    for knee, epochs, low, high in ((40, 60, 20, 120), (16, 80, 1, 127)):
-        g, limit = folds.Governor(8, 1, 512), 8
-        for _ in range(epochs * folds.PROBES):
-            limit = g.observe(9.0 * min(limit, knee), False, 10, 0)
-        assert low <= limit <= high
-    g = folds.Governor(10, 1, 64)
-    assert g.observe(5.0, False, 2, 2) == 7 and g.observe(0.0, True, 0, 0) == 7
-
-
-def test_weights_follow_a_swap():
-    pool, draws = folds.WeightPool(["fast", "slow"]), folds.Draws()
-    rate = {"fast": 64.0, "slow": 1.0}
-    for _ in range(300):
-        p = draws.pick(pool.weight)
-        pool.observe(p, rate[p] * 1e6, 1.0, True)
-    assert pool.weight["slow"] < 0.1 and pool.weight["fast"] == max(pool.weight.values())
-    rate = {"fast": 1.0, "slow": 64.0}
-    picks = []
-    for _ in range(300):
-        p = draws.pick(pool.weight)
-        picks.append(p)
-        pool.observe(p, rate[p] * 1e6, 1.0, True)
-    assert pool.weight["slow"] > pool.weight["fast"] and picks[-100:].count("slow") > 80
-    assert all(folds.WEIGHT_FLOOR <= w <= 1 for w in pool.weight.values())
+@pytest.mark.parametrize("best", [3, 25, 90])
+def test_governor_climbs_to_the_best_limit(best):
+    """Throughput rises up to `best` streams and falls beyond; the limit settles around it from either side."""
+    for start in (2, 200):
+        g, limit, late = folds.Governor(start, 1, 300), start, []
+        for epoch in range(160 * folds.PROBES):
+            limit = g.observe(100.0 * min(limit, best**2 / limit), False, 9, 1)
+            if epoch > 120 * folds.PROBES:
+                late.append(limit)
+        middle = sorted(late)[len(late) // 2]
+        assert best / 2 <= middle <= 2 * best + 2, (start, middle)
+
+
+def test_governor_keeps_its_bounds_and_backs_off():
+    rng = random.Random(5)
+    g = folds.Governor(9, 3, 17)
+    for _ in range(500):
+        assert 3 <= g.observe(rng.random(), rng.random() < 0.1, rng.randrange(9), rng.randrange(4)) <= 17
+    h = folds.Governor(20, 1, 64)
+    assert [h.observe(1.0, False, 1, 3) for _ in range(3)] == [14, 10, 7] and h.observe(1.0, False, 1, 2) == 7
+
+
+@settings_(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.floats(0, 1e6), st.booleans()), max_size=60))
+def test_weights_keep_their_bounds(log):
+    pool = folds.WeightPool(list("abc"))
+    for peer, size, ok in log:
+        before = pool.weight[peer]
+        pool.observe(peer, size, 0.01, ok)
+        assert all(folds.WEIGHT_FLOOR <= w <= 1 for w in pool.weight.values()) and 0 <= pool.loss <= 1
+        assert ok or pool.weight[peer] <= before + 0.01 or before == min(pool.weight.values())
+    share, floor = pool.shares(list("abc"), "b")
+    assert 0 < floor <= share + 1e-12 <= 1 + 1e-12
+
+
+def test_the_best_of_three_peers_is_drawn_most():
+    """Also after the rates turn round."""
+    pool, draws = folds.WeightPool(["near", "far", "thin"]), folds.Draws(seed=11)
+    for rates in ({"near": 9e5, "far": 3e5, "thin": 1e5}, {"near": 1e5, "far": 3e5, "thin": 9e5}):
+        picks = []
+        for _ in range(500):
+            picks.append(draws.pick(pool.weight))
+            pool.observe(picks[-1], rates[picks[-1]] * 0.5, 0.5, True)
+        late = picks[250:]
+        assert max(set(late), key=late.count) == max(rates, key=rates.get)
+
+
+def test_draws_follow_the_weights():
+    draws, weights = folds.Draws(seed=3), {"a": 5.0, "b": 0.0, "c": 2.0, "d": 1.0}
+    got = [draws.pick(weights) for _ in range(8000)]
+    assert [round(got.count(n) / 1000) for n in "abcd"] == [5, 0, 2, 1]
+    assert {draws.pick({"a": 0.0, "b": 0.0}) for _ in range(50)} == {"a", "b"} == {draws.pick({"a": float("nan"), "b": 1.0}) for _ in range(50)} and draws.pick({}) is None
+
+
+def test_folds_leave_out_nulls_and_take_empty_tables(spark):
+    log = [("k", 1, 1.0), ("k", 2, None), ("k", 3, 3.0), (None, 1, 5.0), ("m", None, 1.0)]
+    df = spark.createDataFrame(log, "key string, t long, value double")
+    step = lambda s, r: (r.t, s.add(r.value))
+    assert rows(folds.folded(df, ["key"], ["t"], folds.Ewma, step, "t long, rate double")) == [("k", 1, 1.0), ("k", 3, 0.7 + 0.3 * 3)]
+    assert rows(folds.folded(df, ["key"], ["t"], folds.Ewma, step, "t long, rate double", last=True)) == [("k", 3, 0.7 + 0.3 * 3)]
+    assert folds.folded(df.limit(0), ["key"], ["t"], folds.Ewma, step, "t long, rate double").count() == 0
+    e = folds.Ewma()
+    assert e.add(4.0, 0.0001) == 0.0 and e.add(4.0) == 4.0 and e.add(9.0, folds.SHORTEST) == 4.0
 
 
 def test_breaker_opens_again_after_a_failed_probe():
