@@ -154,3 +154,21 @@ def severity(own: Column, system: Column, fill: Column, available: Column) -> Co
     """The largest of the signals' ramps; a signal that can't be read counts 0."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return F.greatest(zero(ramp(own, 0.5, 5.0)), zero(ramp(system, 2.0, 20.0)), zero(ramp(fill, 0.75, 0.95)), zero(ramp(available, 0.10, 0.05)))
+
+
+def meminfo(text: Column | str, key: str) -> Column:
+    """Bytes of a line `key: n kB` of a memory text."""
+    return F.regexp_extract(col(text), rf"(?m)^{key}:\s*([0-9]+) kB", 1).try_cast("long") * 1024
+
+
+def clean_of(text: Column | str, *marks: str) -> Column:
+    """Whether a text has none of the marks; a text that can't be read has none."""
+    found = F.lit(False)
+    for m in marks:
+        found = found | F.contains(col(text), F.lit(m))
+    return F.coalesce(~found, F.lit(True))
+
+
+def refused(roaming: Column, size: Column, least_rate: float, grace: float) -> Column:
+    """Whether a transfer is refused while roaming: too large for the least rate in the time of grace; never, if no rate is asked."""
+    return F.lit(least_rate > 0) & F.coalesce(roaming, F.lit(False)) & F.coalesce(size > least_rate * grace, F.lit(False))

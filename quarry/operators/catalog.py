@@ -149,3 +149,24 @@ def byte_prefix(rows: DataFrame, by: list[str], order: list[str], most: int) ->
     all_ = F.count("*").over(W.partitionBy(*by))
     rows = rows.withColumns({"sofar_": sofar, "k_": F.row_number().over(w), "all_": all_}).where((F.col("sofar_") <= most) | (F.col("k_") == 1))
     return rows.withColumn("truncated", F.col("all_") > F.count("*").over(W.partitionBy(*by))).drop("sofar_", "k_", "all_")
+
+
+def exports(facts: DataFrame) -> DataFrame:
+    """facts with `op`: a have for each, and an attest for those that can be believed, being content-addressed or signed."""
+    believable = F.coalesce((F.col("ca") != "") | F.col("signed"), F.lit(False))
+    ops = F.when(believable, F.array(F.lit("attest"), F.lit("have"))).otherwise(F.array(F.lit("have")))
+    return facts.withColumn("op", F.explode(ops))
+
+
+def tree_check(leaves: DataFrame, facts: DataFrame) -> DataFrame:
+    """leaves, coarse_ok, rows_ok: whether the root of a tree's leaves is that of its upper nodes, and that of the facts themselves."""
+    named = lambda df, name: df.select(F.struct("hi", "lo").alias(name))
+    roots = named(fact_root(leaves), "a").join(F.broadcast(named(fact_root(fact_coarse(leaves)), "b"))).join(F.broadcast(named(fact_root(facts), "c")))  # one row each
+    n = leaves.agg(F.count("*").alias("leaves"))
+    return roots.join(F.broadcast(n)).select("leaves", (F.col("a") == F.col("b")).alias("coarse_ok"), (F.col("a") == F.col("c")).alias("rows_ok"))
+
+
+def adjacent(rows: DataFrame, by: list[str], name: str, order: list[str]) -> DataFrame:
+    """rows with `again`: whether the name is that of the row before it in byte order, within `by`."""
+    before = F.lag(name).over(W.partitionBy(*by).orderBy(name, *order))
+    return rows.withColumn("again", F.coalesce(before == F.col(name), F.lit(False)))
