@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -14,29 +14,30 @@ EVENTS = "origin string, generation long, seq long, op string, content string"
 
 
 class ApplyJournal(StatefulProcessor):
-    """One origin's clock and possession.
+    """One origin's clock, possession and the number of contents held, so that no batch counts them again.
 
     Rows of a batch: journal events (have, drop, attest) and, for recovery, rows of a snapshot (op `snapshot`,
     one for each held content, seq being the snapshot's). A batch is applied as a whole or not at all.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("clock", "generation long, seq long")
+        self.clock = handle.getValueState("clock", "generation long, seq long, n long")
         self.held = handle.getMapState("held", "content string", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
         now = self.clock.get() if self.clock.exists() else None
-        generation, seq = (int(now[0]), int(now[1])) if now else (0, 0)
+        generation, seq, held = map(int, now) if now else (0, 0, 0)
         outcome, n = "replayed", 0
         snap = batch[batch.op == "snapshot"]
         if len(snap):
             g, s = max(zip(snap.generation.astype(int), snap.seq.astype(int), strict=True))
             if (g, s) >= (generation, seq):
-                for c in [k[0] for k in self.held.keys()]:
-                    self.held.removeKey((c,))
-                for c in snap[(snap.generation == g) & (snap.seq == s)].content.dropna():
+                self.held.clear()
+                contents = set(snap[(snap.generation == g) & (snap.seq == s)].content.dropna())
+                for c in contents:
                     self.held.updateValue((c,), (s,))
+                held = len(contents)
                 generation, seq, outcome = g, s, "replaced"
         events = batch[batch.op != "snapshot"].sort_values("seq").drop_duplicates("seq")
         if len(events):
@@ -48,13 +49,17 @@ class ApplyJournal(StatefulProcessor):
                 outcome = "needs_snapshot"
             elif len(fresh):
                 for op, content, at in zip(fresh.op, fresh.content, fresh.seq, strict=True):
+                    if content is None or op not in ("have", "drop"):  # an event without content moves the clock alone
+                        continue
+                    there = self.held.containsKey((content,))
                     if op == "have":
                         self.held.updateValue((content,), (int(at),))
-                    elif op == "drop" and self.held.containsKey((content,)):
+                        held += not there
+                    elif there:
                         self.held.removeKey((content,))
+                        held -= 1
                 generation, seq, outcome, n = theirs, int(fresh.seq.iloc[-1]), "applied", len(fresh)
-        self.clock.update((generation, seq))
-        held = sum(1 for _ in self.held.keys())
+        self.clock.update((generation, seq, held))
         yield pd.DataFrame([(key[0], outcome, n, generation, seq, held)], columns=["origin", "outcome", "applied", "generation", "seq", "held"])
 
     def close(self) -> None:
@@ -98,25 +103,75 @@ def ordered_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("transfer").transformWithStateInPandas(statefulProcessor=Reorder(), outputStructType="transfer string, off long, len long, data string", outputMode="Append", timeMode="None")
 
 
-def export_changes(candidates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """New contents of a candidate stream (content, path) to journal files: an attest and a have each.
+CANDIDATES = "content string, path string, sigs array<string>, ca string, gone boolean, at long"
+OPS = "op string, content string, path string, at long"
+
+
+class Export(StatefulProcessor):
+    """What is exported of one content: a have when it comes, a drop when it goes, and an attest where there is more to believe.
 
-    A batch is written under its own number, so a batch run again replaces itself; contents exported by
-    earlier batches are left out by an anti-join.
+    The state is whether it is held and which signatures of which path were exported, so no history is read again.
+    A fact without signature or content address can't be believed: of it only possession is exported.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = "batch long, op string, content string, path string"
-        try:
-            known = spark.read.schema(schema).parquet(out).where(F.col("batch") < number).select("content").distinct()
-            fresh = batch.join(known, "content", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            fresh = batch
-        fresh = fresh.dropDuplicates(["content"])
-        ops = fresh.select(F.explode(F.array(F.lit("attest"), F.lit("have"))).alias("op"), "content", "path").withColumn("batch", F.lit(number).cast("long"))
-        ops.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
-
-    return candidates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "held boolean")
+        self.known = handle.getMapState("known", "path string", "sigs array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, out = bool(self.held.get()[0]) if self.held.exists() else False, []
+        for row in pd.concat(list(rows)).sort_values("at").itertuples():
+            if row.gone:
+                if held:
+                    out.append(("drop", key[0], row.path, row.at))
+                held = False
+                continue
+            sigs, ca = set() if row.sigs is None else set(row.sigs), isinstance(row.ca, str) and row.ca != ""
+            known = set(self.known.getValue((row.path,))[0]) if self.known.containsKey((row.path,)) else None
+            if (sigs or ca) and (known is None or not sigs <= known):
+                self.known.updateValue((row.path,), (sorted(sigs | (known or set())),))
+                out.append(("attest", key[0], row.path, row.at))
+            if not held:
+                out.append(("have", key[0], row.path, row.at))
+            held = True
+        self.held.update((held,))
+        if out:
+            yield pd.DataFrame(out, columns=["op", "content", "path", "at"])
+
+    def close(self) -> None:
+        pass
+
+
+def candidate_events(rows: DataFrame) -> DataFrame:
+    """Rows of the source (id, path, content, sigs, ca) as CANDIDATES that have come."""
+    return rows.select("content", "path", "sigs", "ca", F.lit(False).alias("gone"), F.col("id").alias("at"))
+
+
+def departed(local: DataFrame, journal: DataFrame, at: int) -> DataFrame:
+    """A full pass: CANDIDATES that have gone, being held as the journal (op, content, path, at) says, and not local (content)."""
+    last = journal.where("op in ('have', 'drop')").groupBy("content").agg(F.max(F.struct("at", "op", "path")).alias("m"))
+    gone = last.where("m.op = 'have'").join(local.select("content").distinct(), "content", "left_anti")
+    none = F.lit(None)
+    return gone.select("content", F.col("m.path").alias("path"), none.cast("array<string>").alias("sigs"), none.cast("string").alias("ca"), F.lit(True).alias("gone"), F.lit(at).cast("long").alias("at"))
+
+
+def exported_stream(candidates: DataFrame) -> DataFrame:
+    """OPS of a stream of CANDIDATES (needs the RocksDB state store)."""
+    rows = candidates.where("content is not null")
+    return rows.groupBy("content").transformWithStateInPandas(statefulProcessor=Export(), outputStructType=OPS, outputMode="Append", timeMode="None")
+
+
+def export_changes(candidates: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """The journal of a stream of CANDIDATES as files; a batch that runs again writes nothing twice."""
+    ops = exported_stream(candidates)
+    return ops.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def pulled(spark: SparkSession, folder: str, files: int = 64) -> DataFrame:
+    """A peer's published journal as a stream of EVENTS, so many files a batch at most."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def watched(events: DataFrame, handle, checkpoint: str, seconds: float = 5.0) -> StreamingQuery:
+    """handle(batch, number) for what came within so many seconds together: the trigger gathers a burst of changes into one batch."""
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{int(seconds * 1000)} milliseconds").start()
