@@ -239,3 +239,25 @@ def hash_columns(spark: SparkSession, sf: str) -> DataFrame:
     s = _source(spark, sf).select("doc_id", X.hash_column("hash").alias("content"))
     s = s.withColumn("base64", F.base64(F.unhex("content")))
     return s.withColumn("unhexed", F.lower(F.hex(F.unbase64("base64"))))
+
+
+@query("""
+, h as (select distinct sha256(p_name || '-' || l_linenumber) as content, l_suppkey as origin from lineitem join part on p_partkey = l_partkey where p_partkey % 5 = 0),
+f as (select distinct substr(sha256(p_name), 1, 32) as hash_part, '/store/' || substr(sha256(p_name), 1, 32) as path, sha256(p_name || '-' || n) as content, 'fixed' as ca from part, (select unnest(range(1, 8)) as n) where p_partkey % 5 = 0),
+l as (select content, tier, count(*) as holders from h join v_origins using (origin) where live group by 1, 2),
+m as (select * from l qualify row_number() over (partition by content order by tier) = 1)
+select path, content, holders as sources, tier from f join m using (content) qualify row_number() over (partition by path order by holders desc, content) = 1""")
+def resolve_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The best usable content of each path, parts having a content for each line number."""
+    from quarry import api
+
+    p = V.table(spark, sf, "part").where("p_partkey % 5 = 0").select("p_partkey", "p_name")
+    li = V.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_linenumber", F.col("l_suppkey").alias("origin"))
+    name = F.sha2(F.concat_ws("-", "p_name", F.col("l_linenumber").cast("string")), 256)
+    held = li.join(p, "p_partkey").select("origin", name.alias("content")).distinct()
+    part = F.substring(F.sha2("p_name", 256), 1, 32)
+    empty = F.array().cast("array<string>")
+    facts = p.withColumn("l_linenumber", F.explode(F.sequence(F.lit(1), F.lit(7)))).select(
+        part.alias("hash_part"), F.concat(F.lit("/store/"), part).alias("path"), name.alias("content"), F.lit(1).cast("long").alias("size"), empty.alias("refs"), empty.alias("sigs"), F.lit("fixed").alias("ca"), F.lit(None).cast("boolean").alias("verified"),
+    ).distinct()
+    return api.resolve(facts, held, V.origins(spark, sf)).select("path", "content", "sources", "tier")

@@ -84,7 +84,14 @@ def _peers(spark: SparkSession, sf: str) -> list[str]:
     return sorted(r[0] for r in V.observations(spark, sf).select("peer").where("peer is not null").distinct().collect())
 
 
-@query()
+@query(f"""{STEPS}, names as (select list(distinct peer order by peer) as names from v_obs), f as (select u.*, list_position(names, peer) as i, value * 1000 / 0.1::double as rate from u, names),
+w("set", k, id, peer, w, best, loss, i) as (
+  select "set", 0::bigint, null::bigint, null::varchar, [1.0::double, 1.0::double, 1.0::double, 1.0::double, 1.0::double], 0.0::double, 0.0::double, 1::bigint from f where k = 1
+  union all select "set", k, id, peer, [greatest(0.03::double, x / top + 0.005::double * (list_sum([y / top for y in g]) / 5 - x / top)) for x in g], best, loss + 0.1::double * (l - loss), i
+  from (select *, list_max(g) as top from (select *, [case when j = i then w[j] * exp(-0.7::double * (l - loss)) else w[j] end for j in range(1, 6)] as g
+    from (select f."set", f.k, f.id, f.peer, f.i, w.w, w.loss, case when ok then greatest(w.best * 0.999::double, rate) else w.best end as best, case when ok then least(greatest(1 - rate / greatest(w.best * 0.999::double, rate), 0), 1) else 1 end::double as l
+      from w join f on f."set" = w."set" and f.k = w.k + 1))))
+select "set", id, peer, w[i] as weight, loss from w where k > 0""")
 def weight_pool(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of a user's transfers over all peers after each observation; the pool's state is a user's own."""
     peers = _peers(spark, sf)
@@ -204,6 +211,16 @@ def single_flight(spark: SparkSession, sf: str) -> DataFrame:
     return folds.folded(_of_users(spark, sf), USER, TIME, lambda: folds.Flights(12 * HOUR), lambda f, r: (r.id, f.ask(r.t)), "id long, builds boolean")
 
 
+@query(f"""{STEPS},
+b("set", k, id, burst, since, last) as (
+  select "set", k, id, 0::bigint, t, t from u where k = 1
+  union all select u."set", u.k, u.id, b.burst + (u.t - b.last > {4 * HOUR} or u.t - b.since > {12 * HOUR})::int, case when u.t - b.last > {4 * HOUR} or u.t - b.since > {12 * HOUR} then u.t else b.since end, u.t from b join u on u."set" = b."set" and u.k = b.k + 1)
+select "set", id, burst from b""")
+def change_bursts(spark: SparkSession, sf: str) -> DataFrame:
+    """A user's events in bursts that end after four quiet hours, or after twelve in all."""
+    return folds.folded(_of_users(spark, sf), USER, TIME, lambda: folds.Bursts(4 * HOUR, 12 * HOUR), lambda b, r: (r.id, b.add(r.t)), "id long, burst long")
+
+
 @query(f"""{STEPS},
 s("set", k, id, granted, ends) as (
   select "set", k, id, true, [t + {DAY}] from u where k = 1
@@ -234,7 +251,14 @@ def memory_governor(spark: SparkSession, sf: str) -> DataFrame:
     return folds.folded(rows, USER, TIME, lambda: [256 << 20], step, "id long, budget long")
 
 
-@query()
+@query("""
+, r as (select l_suppkey, l_orderkey, l_linenumber, l_partkey as p, floor(l_quantity)::bigint as s, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity) as k from lineitem),
+c(l_suppkey, k, l_orderkey, l_linenumber, hit, evicted, held) as (
+  select l_suppkey, k, l_orderkey, l_linenumber, false, 0::bigint, [{'p': p, 's': s}] from r where k = 1
+  union all select l_suppkey, k, l_orderkey, l_linenumber, hit, i - 1, h[i:]
+  from (select *, list_min([i for i in range(1, len(h) + 1) if i = len(h) or list_sum([x.s for x in h[i:]]) <= 500]) as i
+    from (select r.*, list_contains([x.p for x in c.held], r.p) as hit, list_append(list_filter(c.held, lambda x: x.p <> r.p), {'p': r.p, 's': r.s}) as h from c join r on r.l_suppkey = c.l_suppkey and r.k = c.k + 1)))
+select l_suppkey, l_orderkey, l_linenumber, hit, evicted from c""")
 def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Hits and evictions of each supplier's cache over its lines in order."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
@@ -255,10 +279,11 @@ def transfer_replay(spark: SparkSession, sf: str) -> DataFrame:
         for b in batches:
             out = []
             for tree, size in zip(b.column("doc_id").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
-                out += [(tree, *x) for x in folds.transfer(size or 0, rates, chunk, {"thin": (tree or 0) % 2})]
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "peer", "off", "len", "began", "ended", "ok"])
+                t = folds.Transfer(size or 0, rates, chunk, {"thin": (tree or 0) % 2}, least=2e3)
+                out += [(tree, *x, t.outcome) for x in t.log]
+            cols = list(zip(*out, strict=True)) or [()] * 9
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.string()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "peer", "off", "len", "began", "ended", "ok", "won", "outcome"])
 
     d = V.table(spark, sf, "documents").select("doc_id", "n_chars")
-    return d.mapInArrow(run, "tree long, peer string, off long, len long, began double, ended double, ok boolean")
+    return d.mapInArrow(run, "tree long, peer string, off long, len long, began double, ended double, ok boolean, won boolean, outcome string")
