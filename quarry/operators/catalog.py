@@ -1,4 +1,9 @@
-"""Who holds which content, what is believed about it, and which copies can be used."""
+"""Who holds which content, what is believed about it, and which copies can be used.
+
+Nulls: an origin, content or path that is null takes no part in joins; facts that lack a field are not well formed.
+Ties go to the smallest value named; repeated rows count once where a set is meant; empty tables give no rows (a root
+gives zero).
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,10 @@ from pyspark.sql.window import Window as W
 def resolve(holdings: DataFrame, origins: DataFrame) -> DataFrame:
     """content, tier, holders, first: the live holders of the lowest tier that has any; without one, no row.
 
-    holdings(origin, content); origins(origin, tier, live).
+    holdings(origin, content), in which pairs may repeat: only those of live origins are made distinct. origins(origin,
+    tier, live); a null origin or content takes no part, ties go to the smallest origin.
     """
-    live = holdings.join(origins.where("live").select("origin", "tier"), "origin")
+    live = holdings.where("content is not null").join(origins.where("live").select("origin", "tier").distinct(), "origin").select("content", "tier", "origin").distinct()
     by_tier = live.groupBy("content", "tier").agg(F.count("*").alias("holders"), F.min("origin").alias("first"))
     return by_tier.groupBy("content").agg(F.min(F.struct("tier", "holders", "first")).alias("best")).select("content", "best.*")
 

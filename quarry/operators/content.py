@@ -1,4 +1,8 @@
-"""Segments, spans and ranges of content: what is fetched once, what is replayed, and where a byte lies."""
+"""Segments, spans and ranges of content: what is fetched once, what is replayed, and where a byte lies.
+
+Nulls: a segment without hash or tree takes no part; a tree without segments has none of their bytes. Segments are in
+order of tree and position; rows that repeat both are as good as each other. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,8 @@ def occurrences(segments: DataFrame) -> DataFrame:
 def first_later(segments: DataFrame) -> DataFrame:
     """segments with `later`: whether the hash came before, in order of tree and position.
 
-    The first place of a hash is a partial minimum, so a common segment is no task of its own.
+    The first place of a hash is a partial minimum. The join with it sends a common segment's rows to one task, which
+    adaptive execution splits by its size, the other side being one row a hash.
     """
     first = segments.groupBy("hash").agg(F.min(F.struct("tree", "ord")).alias("first"))
     return segments.join(first, "hash").withColumn("later", F.struct("tree", "ord") > F.col("first")).drop("first")
@@ -38,13 +43,15 @@ def offsets(parts: DataFrame, by: str, order: list[str]) -> DataFrame:
 
 
 def resolved(segments: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
-    """tree, ord, start, end: the parts of [start, end) in each segment of at most `width`.
+    """tree, ord, start, end: the parts of [start, end) in each segment, of any length.
 
-    Both sides meet on (tree, width-sized bucket), so a range meets only segments next to it.
+    Both sides meet on (tree, width-sized bucket), a segment in every bucket that it reaches into, so a range meets
+    only segments next to it; a pair that meets in several buckets counts in the first of them.
     """
-    r = ranges.where("end > start").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / width) - 1, F.floor((F.col("end") - 1) / width))))
-    s = segments.withColumn("bucket", F.floor(F.col("off") / width))
-    hit = s.join(r, ["tree", "bucket"]).where("off < end and off + len > start")
+    reach = lambda a, z: F.explode(F.sequence(F.floor(a / width), F.floor((z - 1) / width)))
+    r = ranges.where("end > start").withColumn("bucket", reach(F.col("start"), F.col("end")))
+    s = segments.where("len > 0").withColumn("bucket", reach(F.col("off"), F.col("off") + F.col("len")))
+    hit = s.join(r, ["tree", "bucket"]).where("off < end and off + len > start").where(F.col("bucket") == F.floor(F.greatest("off", "start") / width))
     return hit.select("tree", "ord", F.greatest("off", "start").alias("start"), F.least(F.col("off") + F.col("len"), "end").alias("end"))
 
 

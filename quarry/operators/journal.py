@@ -1,4 +1,8 @@
-"""Per-origin journals: folds, gaps, replies, and what replication decides from clocks and acknowledgements."""
+"""Per-origin journals: folds, gaps, replies, and what replication decides from clocks and acknowledgements.
+
+Nulls: an event without origin or sequence takes no part, a missing clock or acknowledgement counts 0. Of events that
+repeat a sequence one is as good as the other. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -21,7 +21,12 @@ def origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """origin, content: each pair of supplier and part once."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("origin"), F.col("l_partkey").alias("content")).distinct()
+    return lines_held(spark, sf_dir).distinct()
+
+
+def lines_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """origin, content of every line: the pairs of holdings, as often as they occur."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("origin"), F.col("l_partkey").alias("content"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

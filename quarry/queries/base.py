@@ -9,12 +9,13 @@ from quarry.functions import codecs as X
 from quarry.operators import catalog, content, folds, journal
 from quarry.plans import views as V
 from quarry.queries.registry import clocks, query, their_clocks
+from quarry.session import reliable
 
 @query("""
 , live as (select content, tier, count(*) as holders, min(h.origin) as first from v_holdings h join v_origins o on h.origin = o.origin where live group by 1, 2)
 select * from live l where tier = (select min(tier) from live m where m.content = l.content)""")
 def resolve_min_tier(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.resolve(V.holdings(spark, sf), V.origins(spark, sf))
+    return catalog.resolve(V.lines_held(spark, sf), V.origins(spark, sf))
 
 
 @query("select content, string_agg(origin::varchar, ',' order by origin) as holders from v_holdings group by 1")
@@ -93,8 +94,8 @@ def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """All facts, and those of a replica that knows only labelled documents."""
-    every = V.hashed_facts(spark, sf)
+    """All facts' hashes, computed once and kept, and those of a replica that knows only labelled documents."""
+    every = reliable(V.hashed_facts(spark, sf).select("doc_id", "leaf", "hi", "lo"))
     return every, every.join(V.table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

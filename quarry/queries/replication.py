@@ -135,7 +135,7 @@ t as (select 0 as rank, 'bucket' as kind, u, u as node from f where not held uni
 select row_number() over (order by rank, u, node) as turn, kind, node::bigint as node from t order by rank, u, node limit 64""")
 def repair_targets(spark: SparkSession, sf: str) -> DataFrame:
     """The subtrees that a round fetches for a replica that knows only labelled documents, buckets whole from three leaves on."""
-    every = V.hashed_facts(spark, sf)
+    every = reliable(V.hashed_facts(spark, sf).select("doc_id", "leaf", "hi", "lo"))
     some = every.join(V.table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     return R.repair_targets(catalog.fact_leaves(some), catalog.fact_leaves(every), wholesale=3)
 

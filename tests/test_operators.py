@@ -336,3 +336,16 @@ def test_settings(spark):
     assert settings.Config().problems() == []
     bad = settings.Config(name="p", peers={"p": "https://x"}, segment=10, breaker_failures=0, encodings={"p": "gzip", "q": "zstd:3"})
     assert len(bad.problems()) == 5
+
+
+def test_segments_of_any_length_resolve(spark):
+    """Also those longer than a bucket: each overlap once."""
+    rng, segs, at = random.Random(8), [], 0
+    for i in range(30):
+        n = rng.choice([0, 1, 5, 63, 64, 65, 300])
+        segs.append(("t", i, at, n))
+        at += n
+    ranges = [("t", a, min(at, a + rng.choice([1, 7, 64, 500]))) for a in range(0, at - 1, 37)]
+    got = rows(content.resolved(spark.createDataFrame(segs, "tree string, ord int, off long, len long"), spark.createDataFrame(ranges, "tree string, start long, end long"), 64))
+    want = [("t", i, max(o, a), min(o + n, z)) for _, i, o, n in segs for _, a, z in ranges if n and o < z and o + n > a]
+    assert got == sorted(want, key=str)
