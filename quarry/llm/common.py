@@ -50,6 +50,19 @@ def small_side(df: DataFrame, rows: int, most_mb: float = 32.0, row_bytes: int =
     return F.broadcast(df) if rows * row_bytes <= most_mb * 1e6 else df
 
 
+def spread_join(rows: DataFrame, side: DataFrame, key: str, unit: str, most: int = 100_000) -> DataFrame:
+    """rows left-joined with side, of one row a key; a key of more than `most` rows is dealt to several tasks by `unit`.
+
+    The keys that have so many are at most one for every `most` rows.
+    """
+    hot = stored(rows.groupBy(key).agg(F.ceil(F.count("*") / most).alias("salts_")).where("salts_ > 1"), "hot")
+    hot = small_side(hot, hot.count())
+    salts = F.coalesce("salts_", F.lit(1).cast("long"))
+    left = rows.join(hot, key, "left").withColumn("salt_", F.pmod(F.xxhash64(unit), salts)).drop("salts_")
+    right = side.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts_")
+    return left.join(right, [key, "salt_"], "left").drop("salt_")
+
+
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(src, dst) longs to (node, label), the label being the smallest node that edges lead to.
 

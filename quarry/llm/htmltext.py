@@ -32,7 +32,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_side, stored
+from .common import small_side, spread_join, stored
 
 LEXER = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S
@@ -420,13 +420,18 @@ def _extract(batches):
         yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), n], ["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+def main_text(pages: DataFrame, broadcast_mb: float = 32.0, per_task: int = 100_000) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Templates of up to broadcast_mb together are sent to every task; more are joined by host, of a host at most
+    per_task pages in a task.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", host().alias("host"))
     rows = rows.withColumn("page", F.xxhash64("html"))
     again = stored(rows.groupBy("host", "page").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
     counted = rows.join(small_side(again, again.count()), ["host", "page"], "left").withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
     found = stored(templates(counted), "templates")
     known = found.agg(F.count("*"), F.coalesce(F.sum(F.size("texts")), F.lit(0))).first()
-    joined = rows.join(small_side(found, known[0] * 8 + known[1], row_bytes=16), "host", "left")
+    size = 128 * known[0] + 8 * known[1]
+    joined = rows.join(F.broadcast(found), "host", "left") if size <= broadcast_mb * 1e6 else spread_join(rows, found, "host", "page", per_task)
     return joined.select("page_id", "url", "html", "host", "texts", "main").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -197,3 +197,12 @@ def test_tree_alone():
     page = "<div><a href=x>one</a> <a href=y>two two two two two</a></div><div><h1>T</h1><div><p>body of it</p></div></div><div>short</div>"
     assert extracted(page, set(), None) == "T\n\nbody of it"
     assert deduced([{"token": 1, "kind": "path", "path": "", "vector": 1, "weight": 0, "headed": 0, "main": 0}]) == ([], "")
+
+
+def test_templates_too_large_to_broadcast(spark):
+    """The same rows when templates are joined by host, a large one's pages dealt to several tasks."""
+    rows = [(i, f"http://h{i % 3 if i % 5 else 0}.example.com/{i}", f"<div><p>Site</p></div><div><h1>Title {i}</h1><p>Own text {i}</p></div><div>Foot</div>", "", "", "") for i in range(60)]
+    rows += [(99, None, "<p>alone</p>", "", "", "")] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, main_text(df).collect()))
+    assert sorted(map(str, main_text(df, broadcast_mb=0.0, per_task=7).collect())) == want and any("Title 7\\n\\nOwn text 7" in w for w in want)
