@@ -6,6 +6,8 @@ every third turn is a link, and a first answer of every ninth conversation an em
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions import codecs as X, compress
@@ -13,6 +15,7 @@ from quarry.operators import content, journal, lookups, manifest as M
 from quarry.plans import views as V
 from quarry.queries.base import B32
 from quarry.queries.registry import query
+from quarry.sources import records
 
 PIECE = 256
 
@@ -164,6 +167,25 @@ def lookup_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     return lookups.by_content(_source(spark, sf), probes.unionByName(spark.createDataFrame([("0" * 64,), (None,)], "content string")))
 
 
+@query("""
+select path, content, size from v_facts where hash_part = substr(sha256('7'), 1, 32)""")
+def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The row of one 32-character key, by a range of paths."""
+    return records.by_part(V.facts(spark, sf), "/store", hashlib.sha256(b"7").hexdigest()[:32]).select("path", "content", "size")
+
+
+@query(f"""{SOURCE}
+select doc_id as id, path, content, size, case when doc_id % 3 = 0 then 'k:a,k:b' else '' end as sigs, case when doc_id % 4 = 1 then 'fixed:x' end as ca from r where doc_id % 7 <> 0 and doc_id % 11 <> 0""")
+def candidate_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All well-formed rows of a source, some of whose rows lack a size or have a hash of another kind."""
+    s, k = _source(spark, sf), F.col("doc_id")
+    rows = s.select(
+        k.alias("id"), "path", F.when(k % 11 == 0, F.concat(F.lit("md5:"), "content")).otherwise(F.col("hash")).alias("hash"), F.when(k % 7 != 0, F.col("size")).alias("nar_size"),
+        F.when(k % 3 == 0, "k:a   k:b").when(k % 3 == 1, " ").alias("sigs"), F.when(k % 4 == 1, "fixed:x").when(k % 4 == 2, "").alias("ca"),
+    )
+    return records.candidates(rows).withColumn("sigs", F.array_join("sigs", ","))
+
+
 @query("select path, content, size from v_facts where doc_id % 5 = 0")
 def lookup_by_path(spark: SparkSession, sf: str) -> DataFrame:
     f = V.facts(spark, sf)

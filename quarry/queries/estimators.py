@@ -45,6 +45,17 @@ def best_and_loss(spark: SparkSession, sf: str) -> DataFrame:
     return folds.folded(_of_pairs(spark, sf, "value"), PAIR, TIME, folds.Best, lambda s, r: s.add(r.value), "best double, loss double", last=True)
 
 
+@query(f"""{STEPS},
+z0 as (select "set", id, (("set"::uhugeint * 1000003 + k::uhugeint * 11400714819323198485::uhugeint) % 18446744073709551616::uhugeint) as z from u),
+z1 as (select *, (xor(z, z >> 30) * 13787848793156543929::uhugeint) % 18446744073709551616::uhugeint as y from z0),
+z2 as (select *, (xor(y, y >> 27) * 10723151780598845931::uhugeint) % 18446744073709551616::uhugeint as x from z1)
+select "set", id, (xor(x, x >> 31) >> 11)::double / 9007199254740992.0::double as unit from z2""")
+def seeded_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """One draw for each of a user's observations, from a generator seeded by the user."""
+    step = lambda s, r: (r.id, s.setdefault("d", folds.Draws(r.set * 1_000_003)).unit())
+    return folds.folded(_of_users(spark, sf), USER, TIME, dict, step, "id long, unit double")
+
+
 @query("""
 , d as (select source, doc_id, octet_length(encode(text)) as bytes, row_number() over (partition by source order by doc_id) as k from documents),
 a(source, doc_id, k, page, used) as (

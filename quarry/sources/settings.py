@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
+
 def settings(lines: DataFrame) -> DataFrame:
     """key, value, line of a file's lines (value, line); comments are stripped, lines without = skipped."""
     bare = F.trim(F.regexp_replace("value", "#.*$", ""))
@@ -25,19 +26,29 @@ def trusted_keys(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Config:
-    """Knobs of a replica; problems() says what is wrong with them."""
+    """Knobs of a replica; problems() says what is wrong with them. peers: (name, url) in any order."""
 
     name: str = "self"
-    peers: dict[str, str] = field(default_factory=dict)
+    peers: list[tuple[str, str]] = field(default_factory=list)
     segment: int = 4 << 20
     breaker_failures: int = 3
     encodings: dict[str, str] = field(default_factory=dict)
 
+    KNOBS = ("name", "peers", "segment", "breaker_failures", "encodings")
+
+    @classmethod
+    def read(cls, values: dict[str, object]) -> Config:
+        """From named values; an unknown name is refused."""
+        if unknown := sorted(set(values) - set(cls.KNOBS)):
+            raise ValueError(f"unknown settings {unknown}")
+        return cls(**values)
+
     def problems(self) -> list[str]:
-        out = []
-        if self.name in self.peers:
+        names, out = sorted(n for n, _ in self.peers), []
+        if self.name in names:
             out.append("a peer has the replica's own name")
-        out += [f"peer {n} is not reached by http" for n, url in self.peers.items() if not url.startswith("http://")]
+        out += [f"two peers are called {a}" for a, b in zip(names, names[1:], strict=False) if a == b]
+        out += [f"peer {n} is not reached by http" for n, url in self.peers if not url.startswith("http://")]
         if self.segment < 4096:
             out.append("segments are shorter than 4096 bytes")
         if self.breaker_failures < 1:
@@ -46,4 +57,6 @@ class Config:
             level = e.removeprefix("zstd:")
             if e not in ("none", "auto") and not (e.startswith("zstd:") and level.isdigit() and 1 <= int(level) <= 22):
                 out.append(f"encoding {e} of {n} is unknown")
+            if n not in names:
+                out.append(f"encoding of {n}, who is no peer")
         return out

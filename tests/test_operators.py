@@ -334,8 +334,11 @@ def test_settings(spark):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, line int")
     assert rows(settings.trusted_keys(df)) == [("a", key(b"b")), ("e", key(b"c"))]
     assert settings.Config().problems() == []
-    bad = settings.Config(name="p", peers={"p": "https://x"}, segment=10, breaker_failures=0, encodings={"p": "gzip", "q": "zstd:3"})
-    assert len(bad.problems()) == 5
+    bad = settings.Config(name="p", peers=[("p", "https://x"), ("q", "http://y"), ("q", "http://z")], segment=10, breaker_failures=0, encodings={"p": "gzip", "q": "zstd:3", "r": "none"})
+    assert len(bad.problems()) == 7
+    assert settings.Config.read({"peers": [("a", "http://a")], "encodings": {"a": "zstd:22"}}).problems() == []
+    with pytest.raises(ValueError):
+        settings.Config.read({"peer": []})
 
 
 def test_segments_of_any_length_resolve(spark):
