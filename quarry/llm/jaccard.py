@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 from .common import connected_components, discard, small_side, stored, width
 from .kernels import SPACED, U, binary, mix, rolling
 
-FLUSH = 2_000_000  # signatures that a task holds before it hands them on
+FLUSH = 2_000_000  # signatures, or pairs, that a task holds before it hands them on
+SENT = 250_000  # of them in a batch
 RUN = 32  # members of a run that are paired one by one
 BLOCK = 1024  # texts of one side of a verified block
 SLICE = 4096  # shingles of one verified fragment
 SALT = 16  # tasks that a run of equal signatures is tied in
 MOST_CLASHES = 100_000  # sets with another one's digest; more would mean a broken hash
-PART = 4_000_000  # signatures of a part, on average
+GRAMS = 8_000_000  # shingles of one side of a verified block
+PART = 8_000_000  # signatures of a partition, on average
 
 
 def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -128,25 +130,33 @@ def _stats(k: int, bits: int):
     return run
 
 
-def _signatures(k: int, share: int, parts: int, nodes: Nodes):
+def packed(sig: np.ndarray, need: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """55 bits of a signature, what its text needs, and whether it is far, as one long. Signatures that then look alike only
+    make more candidates.
+    """
+    return ((sig & ~U(0x1FF)) | (need.astype(U) << U(1)) | far.astype(U)).view(np.int64)
+
+
+def _signatures(k: int, share: int, nodes: Nodes, run: int):
+    """(sig, id): each distinct set of a task with its signatures, packed.
+
+    Of the sets of a task that share a signature the first run + 1 go where all of the signature meet, enough to tell
+    that the run is long; the others (far) need meet nobody and are dealt by themselves, so no signature fills a task.
+    """
     starts = bounds(share)
 
     def flush(ids, found):
-        sigs, many = [x for x, _ in found], [len(x) for x, _ in found]
-        i, s, m = np.repeat(np.array(ids, np.int64), many), np.concatenate(sigs), np.repeat(np.array([x for _, x in found], np.uint8), many)
-        p = (s % U(parts)).astype(np.int64)
-        order = np.argsort(p, kind="stable")
-        cut = np.searchsorted(p[order], np.arange(parts + 1))
+        many = [len(x) for x, _ in found]
+        i, s, m = np.repeat(np.array(ids, np.int64), many), np.concatenate([x for x, _ in found]), np.repeat(np.array([x for _, x in found], np.uint8), many)
+        order = np.argsort(s, kind="stable")
         i, s, m = i[order], s[order], m[order]
-        full = [q for q in range(parts) if cut[q + 1] > cut[q]]
-        for at in range(0, len(full), 64):
-            some = full[at : at + 64]
-            yield pa.record_batch(
-                [pa.array(some, pa.int32()), *(binary([x[cut[q] : cut[q + 1]] for q in some]) for x in (i, s, m))],
-                ["part", "ids", "sigs", "needs"],
-            )
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        far = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s)))) > run
+        p = packed(s, m, far)
+        for at in range(0, len(s), SENT):
+            yield pa.record_batch([pa.array(p[at : at + SENT]), pa.array(i[at : at + SENT])], ["sig", "id"])
 
-    def run(batches):
+    def each(batches):
         ids, sigs, held, seen = [], [], 0, set()
         for b in batches:
             for u in text_sets(b.column("text"), k):
@@ -164,45 +174,104 @@ def _signatures(k: int, share: int, parts: int, nodes: Nodes):
         if ids:
             yield from flush(ids, sigs)
 
-    return run
+    return each
 
 
-def _pairs(run: int):
-    """What the runs of equal signatures say, with `need`, the fragments that a linked pair shares at least.
+class Pairs:
+    """Pairs that share signatures, counted until they are handed on, and the members of long runs."""
 
-    All members of a short run are paired: (src, dst, n times). A member of a long run is named with its
-    signature instead: (src, the signature as dst, long).
-    """
+    def __init__(self):
+        self.a, self.b, self.need, self.far, self.held = [], [], [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.need.append(need)
+        self.held += len(a)
 
-    def pair(table: pa.Table) -> pa.Table:
-        ids, sigs, needs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("sigs", U), ("needs", np.uint8)))
-        order = np.lexsort((ids, sigs))
-        ids, sigs, needs = ids[order], sigs[order], needs[order]
-        once = np.ones(len(ids), bool)  # copies of a set come from several tasks
-        once[1:] = (ids[1:] != ids[:-1]) | (sigs[1:] != sigs[:-1])
-        ids, sigs, needs = ids[once], sigs[once], needs[once]
-        first = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-        size = np.diff(np.append(first, len(ids)))
-        within, size_of = np.arange(len(ids)) - np.repeat(first, size), np.repeat(size, size)
-        far = size_of > run
-        a, b, need = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
-        for step in range(1, min(run, int(size.max(initial=1)))):
-            at = np.flatnonzero(~far & (within + step < size_of))
-            a.append(ids[at])
-            b.append(ids[at + step])
-            need.append(np.maximum(needs[at], needs[at + step]))
-        a, b, need = (np.concatenate(x) for x in (a, b, need))
+    def taken(self) -> pa.RecordBatch:
+        a, b, need = (np.concatenate([np.empty(0, np.int64), *x]) for x in (self.a, self.b, self.need))
+        ids, sigs, needs = (np.concatenate([np.empty(0, np.int64), *(f[c] for f in self.far)]) for c in range(3))
+        self.__init__()
         order = np.lexsort((b, a))
         a, b, need = a[order], b[order], need[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(a)))
-        far = np.flatnonzero(far)
-        columns = {"src": (a[at], ids[far]), "dst": (b[at], sigs[far].view(np.int64)), "long": (np.zeros(len(at), bool), np.ones(len(far), bool)), "n": (n, np.ones(len(far), np.int64)), "need": (need[at], needs[far])}
-        return pa.table({c: np.concatenate(v) if c == "long" else np.concatenate(v).astype(np.int64) for c, v in columns.items()})
+        most = np.maximum.reduceat(need, at) if len(at) else need
+        cols = (a[at], ids), (b[at], sigs), (np.zeros(len(at), bool), np.ones(len(ids), bool)), (n, np.ones(len(ids), np.int64)), (most, needs)
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], ["src", "dst", "long", "n", "need"])
+
+
+def _runs(run: int):
+    """What the runs of equal signatures say, with `need`, the fragments that a linked pair shares at least.
 
-    return pair
+    All members of a short run are paired: (src, dst, n times). A member of a long run is named with its
+    signature instead: (src, the signature as dst, long). Rows come sorted; only the run that is not over at the end
+    of a stretch is kept, and of a long one nothing.
+    """
+
+    def stretches(batches):
+        some, held = [], 0
+        for b in batches:
+            p = b.column("sig").to_numpy()
+            some.append((p >> 9, b.column("id").to_numpy(), (p >> 1) & 255, (p & 1).astype(bool)))
+            held += b.num_rows
+            if held >= SENT:
+                yield [np.concatenate(x) for x in zip(*some, strict=True)]
+                some, held = [], 0
+        if held:
+            yield [np.concatenate(x) for x in zip(*some, strict=True)]
+
+    def each(batches):
+        out, open_, long = Pairs(), None, None  # the run that goes on; the signature of a long one that does
+
+        def settle(sig, ids, need, far):
+            """All runs of these rows are over."""
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            size = np.diff(np.append(first, len(sig)))
+            wide = (size > run) | np.logical_or.reduceat(far, first)
+            within, wide, size = np.arange(len(sig)) - np.repeat(first, size), np.repeat(wide, size), np.repeat(size, size)
+            for step in range(1, min(run, int(size.max(initial=1)))):
+                at = np.flatnonzero(~wide & (within + step < size))
+                at = at[ids[at] != ids[at + step]]
+                a, b = ids[at], ids[at + step]
+                out.add(np.minimum(a, b), np.maximum(a, b), np.maximum(need[at], need[at + step]))
+            out.far.append((ids[wide], sig[wide], need[wide]))
+            out.held += int(wide.sum())
+
+        for sig, ids, need, far in stretches(batches):
+            if open_ is not None:
+                sig, ids, need, far = (np.concatenate(x) for x in zip(open_, (sig, ids, need, far), strict=True))
+            once = np.ones(len(sig), bool)  # copies of a set come from several tasks
+            once[1:] = (ids[1:] != ids[:-1]) | (sig[1:] != sig[:-1])
+            if not once.all():
+                far = np.logical_or.reduceat(far, np.flatnonzero(once))
+                sig, ids, need = sig[once], ids[once], need[once]
+            if long is not None and (more := sig == long).any():
+                out.far.append((ids[more], sig[more], need[more]))
+                out.held += int(more.sum())
+                sig, ids, need, far = sig[~more], ids[~more], need[~more], far[~more]
+            open_ = None
+            if len(sig):
+                last = int(np.searchsorted(sig, sig[-1]))
+                long = None
+                if len(sig) - last > run or far[last:].any():
+                    long, last = sig[-1], len(sig)  # what is still to come of it is known to be long
+                if last:
+                    if long is not None:
+                        far = far | (sig == long)
+                    settle(sig[:last], ids[:last], need[:last], far[:last])
+                if last < len(sig):
+                    open_ = sig[last:], ids[last:], need[last:], far[last:]
+            if out.held >= FLUSH:
+                yield out.taken()
+        if open_ is not None:
+            settle(*open_)
+        yield out.taken()
+
+    return each
 
 
 def _candidates(found: DataFrame) -> DataFrame:
@@ -212,7 +281,7 @@ def _candidates(found: DataFrame) -> DataFrame:
     long runs at all. With something in a short run it is checked as a pair. With nothing there both need
     enough long runs; such texts are tied to the least one of each of their runs.
     """
-    long = found.where("long").select(F.col("src").alias("node"), F.col("dst").alias("sig"), "need")
+    long = found.where("long").groupBy(F.col("src").alias("node"), F.col("dst").alias("sig")).agg(F.max("need").alias("need"))  # copies name it more than once
     count = stored(long.groupBy("node").agg(F.count("*").alias("m"), F.max("need").alias("need")), "runs")
     left, right = count.select(F.col("node").alias("src"), F.col("m").alias("m1")), count.select(F.col("node").alias("dst"), F.col("m").alias("m2"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -304,19 +373,21 @@ def _grams(k: int, nodes: Nodes):
     return run
 
 
-def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFrame:
+def _dealt(pairs: DataFrame, cand: DataFrame, lengths: DataFrame, parts: int, block: int) -> DataFrame:
     """(digest, key, side, one, wide, task): the verification that each candidate takes part in.
 
     A class of at most `block` texts meets in one task. A larger one is cut into blocks: a pair from a short run
     goes to the task of its two blocks, and texts of long runs meet all blocks of such texts. one: both blocks of
     the key are the same. wide: a text of a pair's task that meets all blocks too; two such texts count there.
+    Classes of long texts (lengths: digest, n) have smaller blocks, of GRAMS shingles at most or one text.
     """
-    size = cand.groupBy("label").agg(F.count("*").alias("size"))
-    sized = stored(cand.join(size, "label").select(F.col("node").alias("digest"), F.col("label").alias("cls"), "size"), "sized")
-    whole = sized.where(F.col("size") <= block).select("digest", F.col("cls").alias("key"), F.lit(0).alias("side"), F.lit(True).alias("one"), F.lit(False).alias("wide"))
-    wide = sized.where(F.col("size") > block)
+    nodes = cand.select(F.col("node").alias("digest"), F.col("label").alias("cls")).join(lengths, "digest")
+    size = nodes.groupBy("cls").agg(F.count("*").alias("size"), F.greatest(F.lit(1).cast("long"), F.least(F.lit(block).cast("long"), F.floor(F.lit(GRAMS) / F.max("n")))).alias("block"))
+    sized = stored(nodes.join(size, "cls").select("digest", "cls", "size", "block", "n"), "sized")
+    whole = sized.where("size <= block").select("digest", F.col("cls").alias("key"), F.lit(0).alias("side"), F.lit(True).alias("one"), F.lit(False).alias("wide"))
+    wide = sized.where("size > block").drop("n")
 
-    blocks = F.ceil(F.col("size") / block)
+    blocks = F.ceil(F.col("size") / F.col("block"))
     i, j = F.pmod(F.xxhash64("src"), blocks), F.pmod(F.xxhash64("dst"), blocks)
     sparse = pairs.where("not long").join(wide.withColumnRenamed("digest", "src"), "src").select("src", "dst", "cls", i.alias("i"), j.alias("j"))
     key = F.xxhash64("cls", F.least("i", "j"), F.greatest("i", "j"), F.lit("pair"))
@@ -326,10 +397,12 @@ def _dealt(pairs: DataFrame, cand: DataFrame, parts: int, block: int) -> DataFra
     long = pairs.where("long")
     long = stored(long.select(F.col("src").alias("digest")).unionByName(long.select(F.col("dst").alias("digest"))).distinct().join(wide, "digest"), "long")
     sparse = sparse.join(long.select("digest", F.lit(True).alias("wide")), "digest", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    count = long.groupBy("cls").agg(F.ceil(F.count("*") / block).alias("n"))
+    count = long.groupBy("cls").agg(F.ceil(F.count("*") / F.max("block")).alias("n"))
     dense = long.join(count, "cls").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     dense = dense.select("digest", F.xxhash64("cls", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("one"), F.lit(False).alias("wide"))
-    small = F.pmod(F.xxhash64("key"), F.lit(parts * 4))
+    # small verifications share a task, of about GRAMS shingles or less
+    tasks = max(parts, int(sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 4 // GRAMS))
+    small = F.pmod(F.xxhash64("key"), F.lit(tasks).cast("long"))
     return whole.unionByName(sparse).withColumn("task", small).unionByName(dense.withColumn("task", F.col("key")))
 
 
@@ -375,13 +448,14 @@ def _classes(docs: DataFrame, k: int, share: int, run: int, block: int, bits: in
     nodes, names = _nodes(sets, bits)
     stats, sets = _named(stats, nodes, names), _named(sets, nodes, names)
     grams_all = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(width(spark) * 2, int(grams_all * 5 * (100 - share) / (100 + share) * 100 / share) // PART)
-    blobs = texts.mapInArrow(_signatures(k, share, parts, nodes), "part int, ids binary, sigs binary, needs binary")
-    found = stored(blobs.groupBy("part").applyInArrow(_pairs(run), "src long, dst long, long boolean, n long, need long"), "found")
+    parts = max(width(spark), int(grams_all * 5 * (100 - share) / (100 + share) * 100 / share) // PART)
+    rows = texts.mapInArrow(_signatures(k, share, nodes, run), "sig long, id long")
+    rows = rows.repartition(parts, F.expr("if(sig & 1 = 1, id, shiftright(sig, 9))")).sortWithinPartitions("sig", "id")  # far ones by their id
+    found = stored(rows.mapInArrow(_runs(run), "src long, dst long, long boolean, n long, need long"), "found")
     pairs = stored(_candidates(found), "pairs")
     discard(found)
     cand = connected_components(pairs.select("src", "dst"))
-    dealt = stored(_dealt(pairs, cand, width(spark) * 2, block), "dealt")
+    dealt = stored(_dealt(pairs, cand, sets.select("digest", "n"), width(spark) * 8, block), "dealt")
 
     none = F.lit(-(1 << 63))
     members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", "copies", F.coalesce("low", none).alias("low")), "candidates")

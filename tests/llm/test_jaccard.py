@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm.jaccard import jaccard_components, keep_one
@@ -121,3 +122,43 @@ def test_sets_that_share_their_digest(spark):
     for (d, _, c), n in brute(rows).items():
         low[c] = min(low.get(c, d), d)
     assert sorted(r.doc_id for r in kept) == sorted(low.values())
+
+
+@pytest.mark.parametrize("sent", [1, 3, 7, 1000])
+def test_runs_over_batches(monkeypatch, sent):
+    """However the sorted rows are cut: short runs are paired, members of long ones and far ones named once."""
+    import pyarrow as pa
+
+    from quarry.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    rng = random.Random(sent)
+    for _ in range(60):
+        run = rng.choice([1, 2, 4])
+        data = []
+        for sig in rng.sample(range(-50, 50), rng.randrange(12)):
+            for i in rng.sample(range(20), rng.choice([1, 1, 2, 3, 5, 9])):
+                data += [(sig, i, i % 5, rng.random() < 0.1)] * rng.choice([1, 1, 2])
+        pack = lambda r: int(jaccard.packed(np.array([r[0] * 512 % 2**64], np.uint64), np.array([r[2]]), np.array([r[3]]))[0])
+        data.sort(key=lambda r: (pack(r), r[1]))
+        batches, at = [], 0
+        while at < len(data):
+            n = rng.randrange(1, 6)
+            cols = list(zip(*data[at : at + n], strict=True))
+            batches.append(pa.record_batch([pa.array([pack(r) for r in data[at : at + n]], pa.int64()), pa.array(cols[1], pa.int64())], ["sig", "id"]))
+            at += n
+        pairs, long = Counter(), set()
+        for b in jaccard._runs(run)(iter(batches)):
+            for r in b.to_pylist():
+                if r["long"]:
+                    long.add((r["src"], r["dst"]))  # a copy beyond a cut names it again, which candidates take once
+                else:
+                    pairs[r["src"], r["dst"]] += r["n"]
+        want, wide = Counter(), set()
+        for sig in {r[0] for r in data}:
+            ids = sorted({r[1] for r in data if r[0] == sig})
+            if len(ids) > run or any(r[3] for r in data if r[0] == sig):
+                wide |= {(i, sig) for i in ids}
+            else:
+                want.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+        assert pairs == want and long == wide
