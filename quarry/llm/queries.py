@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose 4-word shingle sets have Jaccard similarity 0.85 or more."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, share=85).select("doc_id", "n_shingles", "component_id")
+    """Components of documents whose 4-word shingle sets have Jaccard similarity 0.85 or more, and each one's number of links."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=4, share=85).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +102,8 @@ pairs as (
   having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 e as (select x, y from pairs union all select y, x from pairs),
 reach(a, b) as (select doc_id, doc_id from s union select r.a, e.y from reach r join e on r.b = e.x)
-select s.doc_id, len(s.sh)::bigint as n_shingles, c.low as component_id
-from s join (select a, min(b) as low from reach group by a) c on c.a = s.doc_id
+select s.doc_id, len(s.sh)::bigint as n_shingles, c.low as component_id, coalesce(l.n, 0) as n_links
+from s join (select a, min(b) as low from reach group by a) c on c.a = s.doc_id left join (select x, count(*) as n from e group by x) l on l.x = s.doc_id
 """,
     "op2_chat_format": r"""
 with t as (
