@@ -9,7 +9,7 @@ may then hold further classes, level by level.
 
 Text of the template is no content. What is left lies in the template's slots: from the root down the container
 with at least half of the slots' text is entered, over all pages of the host and then on the page itself, until one
-has headings or paragraphs of its own; text of links counts nothing there, text outside of headings, paragraphs and
+has headings or paragraphs of its own and no marked part; text of links counts nothing there, text outside of headings, paragraphs and
 the like a quarter. Marks (article, main) only weigh text more, and blocks below elements that the page itself marks
 as no content (menus, headers, footers, sidebars, notices, adverts, forms, comments) weigh nothing and are removed.
 A main part, or article, with nothing but template is a repeated article and stays whole.
@@ -243,9 +243,14 @@ class Tree:
                 if up in self.weight:
                     children.setdefault(up, []).append(path)
                     break
-        while self.headed[at] < 0.5 and self.main[at] < 2:
+        marked = set()
+        for path in [p for p, m in self.main.items() if m]:
+            while path and path not in marked:
+                marked.add(path)
+                path = path.rpartition("/")[0]
+        while self.main[at] < 2:
             best = max(children.get(at, ()), key=lambda p: (self.weight[p], p), default=None)
-            if best is None or self.weight[best] <= 0 or 2 * self.weight[best] < self.weight[at]:
+            if best is None or self.weight[best] <= 0 or 2 * self.weight[best] < self.weight[at] or (self.headed[at] >= 0.5 and best not in marked):
                 break
             at = best
         return at
@@ -396,6 +401,9 @@ def extracted(page: str, texts: set[int], main: str | None) -> str:
     tree = tree_of(fresh)
     if tree.weight[""] <= 0:
         tree = tree_of(blocks)
+    if tree.weight[""] <= 0 and any(x.main for x in blocks):  # links alone: the mark is all there is to go by
+        level = max(x.main for x in blocks)
+        return "\n\n".join(x.text() for x in blocks if x.main == level)
     at = main or ""
     while at not in tree.weight:
         at = at.rpartition("/")[0]

@@ -193,6 +193,13 @@ def test_fractions_of_rows_add_up():
     assert all(r * pow(r, -1, P) % P == 1 for r in (1, 2, 3, 1000, 10**9))
 
 
+def test_marks_among_paragraphs():
+    page = "<body><p>Of the day</p><article><h1>T</h1><div><p>long body of it, long body of it</p><p>more</p></div></article><p>Of the night</p></body>"
+    assert extracted(page, set(), None) == "T\n\nlong body of it, long body of it\n\nmore"
+    assert extracted(page.replace("article", "main"), set(), None) == "T\n\nlong body of it, long body of it\n\nmore"
+    assert extracted("<div><a>x</a></div><article><p><a>one</a></p><p><a>two</a></p></article>", set(), None) == "one\n\ntwo"
+
+
 def test_tree_alone():
     page = "<div><a href=x>one</a> <a href=y>two two two two two</a></div><div><h1>T</h1><div><p>body of it</p></div></div><div>short</div>"
     assert extracted(page, set(), None) == "T\n\nbody of it"
