@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,30 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_text(run: Callable[[pa.Array], pa.Array], kind: str, text: str = "text") -> Column:
+    """A column from batches of a text column: only the texts go to the workers and only the result comes back, so rows stay
+    where they are; what the batches took is given back when they are through.
+    """
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield run(b)
+        pa.default_memory_pool().release_unused()
+
+    each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(each, kind)(F.col(text))
+
+
+def lean(run: Callable) -> Callable:
+    """run over batches, giving back at its end what they took: workers are used again, and keep it otherwise."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return each
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle of this session has; the operator's own hash ranges follow it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

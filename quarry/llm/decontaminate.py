@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import by_text, stored
 from .kernels import LETTERS, U, Cut, mix, rolling, same_bytes, word_hashes
 
 PREFIX_WORDS = 3
@@ -223,13 +223,12 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, item_byte
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _keep(index: Index):
-    def run(batches):
-        for b in batches:
-            clean = np.ones(b.num_rows, bool)
-            for i, _, cut in LETTERS.texts(b.column("text")):
-                clean[i + index.find(cut)[0]] = False
-            yield b.filter(pa.array(clean))
+def _clean(index: Index):
+    def run(texts: pa.Array) -> pa.Array:
+        clean = np.ones(len(texts), bool)
+        for i, _, cut in LETTERS.texts(texts):
+            clean[i + index.find(cut)[0]] = False
+        return pa.array(clean)
 
     return run
 
@@ -238,5 +237,5 @@ def keep_clean(docs: DataFrame, bench: DataFrame, window: int = 10, item_bytes:
     """The rows of docs, all columns, that contain no window of an item."""
     out = docs
     for index in indexes(docs, bench, window, item_bytes):
-        out = out.mapInArrow(_keep(index), docs.schema)
+        out = out.where(by_text(_clean(index), "boolean"))
     return out

@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, discard, small_side, stored, width
+from .common import by_text, connected_components, discard, lean, small_side, stored, width
 from .kernels import SPACED, U, binary, mix, rolling
 
-FLUSH = 2_000_000  # signatures, or pairs, that a task holds before it hands them on
-SENT = 250_000  # of them in a batch
+FLUSH = 500_000  # signatures, or pairs, that a task holds before it hands them on
+SENT = 100_000  # of them in a batch
 RUN = 32  # members of a run that are paired one by one
 BLOCK = 1024  # texts of one side of a verified block
 SLICE = 4096  # shingles of one verified fragment
@@ -443,15 +443,15 @@ def _classes(docs: DataFrame, k: int, share: int, run: int, block: int, bits: in
     """(doc_id, n, digest) of every row, (digest, copies, low, label, links) of every set that is not empty, and the naming."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = stored(texts.mapInArrow(_stats(k, bits), "doc_id long, n long, digest long, check long"), "sets")
+    stats = stored(texts.mapInArrow(lean(_stats(k, bits)), "doc_id long, n long, digest long, check long"), "sets")
     sets = stored(stats.where("n > 0").groupBy("digest", "check").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n").alias("n")), "classes")
     nodes, names = _nodes(sets, bits)
     stats, sets = _named(stats, nodes, names), _named(sets, nodes, names)
     grams_all = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(width(spark), int(grams_all * 5 * (100 - share) / (100 + share) * 100 / share) // PART)
-    rows = texts.mapInArrow(_signatures(k, share, nodes, run), "sig long, id long")
+    rows = texts.mapInArrow(lean(_signatures(k, share, nodes, run)), "sig long, id long")
     rows = rows.repartition(parts, F.expr("if(sig & 1 = 1, id, shiftright(sig, 9))")).sortWithinPartitions("sig", "id")  # far ones by their id
-    found = stored(rows.mapInArrow(_runs(run), "src long, dst long, long boolean, n long, need long"), "found")
+    found = stored(rows.mapInArrow(lean(_runs(run)), "src long, dst long, long boolean, n long, need long"), "found")
     pairs = stored(_candidates(found), "pairs")
     discard(found)
     cand = connected_components(pairs.select("src", "dst"))
@@ -461,7 +461,7 @@ def _classes(docs: DataFrame, k: int, share: int, run: int, block: int, bits: in
     members = stored(cand.select(F.col("node").alias("digest")).join(sets, "digest").select("digest", "copies", F.coalesce("low", none).alias("low")), "candidates")
     rows = texts.select(F.coalesce("doc_id", none).alias("low"), "text")
     # rows of one doc_id with other texts fall to the digest test; repeated rows meet in their task
-    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest", "copies").mapInArrow(_grams(k, nodes), "digest long, copies long, grams binary")
+    grams = rows.join(small_side(members, members.count()), "low").select("text", "digest", "copies").mapInArrow(lean(_grams(k, nodes)), "digest long, copies long, grams binary")
     sent = grams.join(small_side(dealt, dealt.count()), "digest").select("task", "key", "side", "one", "wide", "digest", "copies", "grams")
     near = stored(sent.groupBy("task").applyInArrow(_verified(share), "src long, dst long, links long"), "near")
     for done in (pairs, dealt, members):
@@ -486,11 +486,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, share: int = 85, run: int =
     return out.unionByName(alone)
 
 
-def _with_digest(k: int, text: str, nodes: Nodes):
-    def run(batches):
-        for b in batches:
-            d = [nodes.of(u) if len(u) else None for u in text_sets(b.column("row_").field(text), k)]
-            yield pa.record_batch([*b.columns, pa.array(d, pa.int64())], [*b.schema.names, "digest_"])
+def _digest_of(k: int, nodes: Nodes):
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([nodes.of(u) if len(u) else None for u in text_sets(texts, k)], pa.int64())
 
     return run
 
@@ -506,8 +504,8 @@ def keep_one(docs: DataFrame, k: int = 4, share: int = 85, run: int = RUN, block
     marked = rows.join(first, "label").select("doc_id", "digest", "rows_", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest"))).alias("kept"))
     marked = stored(marked.where("not kept or rows_ > 1").select(F.col("doc_id").alias("id_"), F.col("digest").alias("other_"), "kept"), "marked")
     names = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
-    packed = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"))
-    seen = packed.mapInArrow(_with_digest(k, names["text"], nodes), packed.select("*").schema.add("digest_", "long"))
+    digest = by_text(_digest_of(k, nodes), "long")
+    seen = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(c).alias(names[c]) for c in docs.columns]).alias("row_"), digest.alias("digest_"))
     joined = seen.join(small_side(marked, marked.count()), F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest_") == F.col("other_")), "left")
     out = joined.where("kept is null").select("row_").unionByName(joined.where("kept").dropDuplicates(["id", "digest_"]).select("row_"))
     return out.select(*[F.col(f"row_.{names[c]}").alias(c) for c in docs.columns])

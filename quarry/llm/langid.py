@@ -19,8 +19,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import by_text
 from .kernels import buffers
 
 BINS = 1 << 14
@@ -155,18 +157,12 @@ def language_mixture(docs: DataFrame, model: tuple[list[str], np.ndarray] | None
     return rows.mapInArrow(_predict(langs, prob), "doc_id long, held_out boolean, lang_pred string, score double, proportions map<string,double>")
 
 
-def _keep(langs: list[str], prob: np.ndarray, least: float):
-    predict = _predict(langs, prob)
-
-    def run(batches):
-        for b in batches:
-            got = next(predict(iter([pa.record_batch([b.column("text")], ["text"])])))
-            known = [x != "und" and s >= least for x, s in zip(got.column("lang_pred").to_pylist(), got.column("score").to_pylist(), strict=True)]
-            yield b.filter(pa.array(known, pa.bool_()))
-
-    return run
-
-
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose dominant language holds at least `least` of the text."""
-    return docs.mapInArrow(_keep(*train(docs), least), docs.schema)
+    predict = _predict(*train(docs))
+
+    def known(texts: pa.Array) -> pa.Array:
+        got = next(predict(iter([pa.record_batch([texts], ["text"])])))
+        return pc.and_(pc.not_equal(got.column("lang_pred"), "und"), pc.greater_equal(got.column("score"), least))
+
+    return docs.where(by_text(known, "boolean"))

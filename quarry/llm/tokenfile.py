@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh_path, width
+from .common import fresh_path, lean, width
 from .kernels import CHUNK, PIECE, RUNS, SPACED, U, buffers, folded, same_bytes
 
 FIRST = itemgetter(0)
@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
         shards = max(width(docs.sparkSession), -(-size // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    writer = rows.mapInArrow(_encode(tokenizer, end_id), ROW).write
+    writer = rows.mapInArrow(lean(_encode(tokenizer, end_id)), ROW).write
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
     writer.options(**options).orc(path)
 
