@@ -189,7 +189,8 @@ def signatures_verified(spark: SparkSession, sf: str) -> DataFrame:
                 sigs.append([[by("k1", t)], [by("k1", t + "!"), "k2:AAAA"], [by("k3", t)], [by("k3", t), by("k2", t)]][i % 4])
             yield pa.record_batch([b.column("s_suppkey"), pa.array(text), pa.array(sigs, pa.list_(pa.string()))], ["s_suppkey", "fingerprint", "sigs"])
 
-    rows = V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")).mapInArrow(made, "s_suppkey long, fingerprint string, sigs array<string>")
+    few = V.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey")).repartition(32, "s_suppkey")  # some milliseconds of work a row
+    rows = few.mapInArrow(made, "s_suppkey long, fingerprint string, sigs array<string>")
     return signature.verified(rows, keys).select("s_suppkey", "verified")
 
 
